@@ -1,6 +1,6 @@
 """All registered queries and their oracles."""
 
-from visitloom.plans import scans  # noqa: F401
+from visitloom.plans import aggregates, joins, scalars, scans  # noqa: F401
 from visitloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
