@@ -36,25 +36,23 @@ def visit_pairs(visits: DataFrame) -> DataFrame:
 def pair_deltas(scores: DataFrame) -> DataFrame:
     """Score change from each visit to every other visit of the patient.
 
-    ``scores`` has (visit_id, patient_id, visit_month, target, score). The
-    partner's score is the mean by month; single-visit patients give no row.
+    ``scores`` has (visit_id, patient_id, visit_month, target, score). A month
+    has one visit, so the mean score of a partner month is that visit's score.
+    Single-visit patients give no row.
     """
-    here = per_patient("target")
-    monthly = F.collect_list(F.struct("visit_month", "score")).over(here)
-    known = scores.where("score is not null").withColumn("_all", monthly)
-    other = known.select(
-        "visit_id", "patient_id", "visit_month", "target", "score", F.inline("_all").alias("month_2", "score_2")
-    ).where(F.col("month_2") != F.col("visit_month"))
-    return other.groupBy("visit_id", "patient_id", "visit_month", "target", "score", "month_2").agg(
-        F.avg(F.col("score_2").cast("double")).alias("_mean")
-    ).select(
+    others = F.collect_list(F.struct("visit_month", "score")).over(per_patient("target"))
+    known = scores.where("score is not null").withColumn("_all", others)
+    pairs = known.select(
+        "visit_id", "patient_id", "visit_month", "target", "score", F.inline("_all").alias("_m", "_s")
+    ).where(F.col("_m") != F.col("visit_month"))
+    return pairs.select(
         "visit_id",
         "patient_id",
         "visit_month",
         "target",
         "score",
-        (F.col("month_2") - F.col("visit_month")).alias("visit_month_diff"),
-        (F.col("_mean") - F.col("score")).alias("score_diff"),
+        (F.col("_m") - F.col("visit_month")).alias("visit_month_diff"),
+        (F.col("_s") - F.col("score")).alias("score_diff"),
     )
 
 
