@@ -252,11 +252,54 @@ def yeo_johnson_fit(features: DataFrame, lambdas: list[float], scale: str = "std
         F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("slog"),
         F.array(*aggs).alias("_g"),
     )
-    grid = sums.select("feature", "n", "slog", F.inline("_g"))
+    return _most_likely(sums.select("feature", "n", "slog", F.inline("_g")))
+
+
+def yeo_johnson_refined(
+    features: DataFrame, coarse: list[float], rounds: int = 1, points: int = 10
+) -> DataFrame:
+    """Best lambda after refining around the coarse winner of each feature.
+
+    The refined grid is the coarse winner plus or minus one coarse step; every
+    feature has its own grid, so lambda is a column and not a literal.
+    """
+    best = yeo_johnson_fit(features, coarse)
+    step = coarse[1] - coarse[0]
+    for _ in range(rounds):
+        best = _refine(features, best, step, points)
+        step = 2 * step / points
+    return best
+
+
+def _refine(features: DataFrame, best: DataFrame, step: float, points: int) -> DataFrame:
+    stats = feature_moments(features).where("std > 0").join(best.select("feature", "lambda"), "feature")
+    scaled = features.join(F.broadcast(stats), "feature").select(
+        "feature", "n", F.col("lambda").alias("_at"), (F.col("value") / F.col("std")).alias("x")
+    )
+    x = F.col("x")
+    aggs = []
+    for i in range(-points // 2, points // 2 + 1):
+        offset = i * 2 * step / points
+        y = yeo_johnson(x, F.col("_at") + offset)
+        aggs.append(
+            F.struct(F.lit(float(offset)).alias("offset"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+        )
+    sums = scaled.groupBy("feature", "_at").agg(
+        F.max("n").alias("n"),
+        F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("slog"),
+        F.array(*aggs).alias("_g"),
+    )
+    grid = sums.select("feature", "n", "slog", "_at", F.inline("_g")).withColumn(
+        "lambda", F.col("_at") + F.col("offset")
+    )
+    return _most_likely(grid)
+
+
+def _most_likely(grid: DataFrame) -> DataFrame:
     var = F.col("syy") / F.col("n") - F.pow(F.col("sy") / F.col("n"), F.lit(2))
     ll = -F.col("n") / 2 * F.log(F.when(var > 0, var)) + (F.col("lambda") - 1) * F.col("slog")
-    scored = grid.withColumn("log_likelihood", ll).where("log_likelihood is not null")
-    return scored.groupBy("feature").agg(
+    known = grid.withColumn("log_likelihood", ll).where("log_likelihood is not null")
+    return known.groupBy("feature").agg(
         F.max_by("lambda", F.struct("log_likelihood", -F.col("lambda"))).alias("lambda"),
         F.max("log_likelihood").alias("log_likelihood"),
     )
