@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions.scalar import pearson, yeo_johnson
 from visitloom.operators.ranking import average_rank_cells
+from visitloom.session import materialize
 
 # Name of the constant-1 feature that carries a visit's count through an aggregate.
 INTERCEPT = "(1)"
@@ -186,8 +187,12 @@ def matrix_from_sparse(rows: DataFrame, value: str) -> DataFrame:
 
 
 def spearman_matrix(features: DataFrame) -> DataFrame:
-    """Rank correlation of every two features over all sampled visits."""
-    return matrix_from_sparse(feature_ranks(features), "u")
+    """Rank correlation of every two features over all sampled visits.
+
+    ``features`` is read several times: pass a table, not a long lineage. The
+    ranks are written once, as the matrix reads them twice.
+    """
+    return matrix_from_sparse(materialize(feature_ranks(features), "ranks"), "u")
 
 
 def high_pairs(matrix: DataFrame, limit: float = 0.75) -> DataFrame:

@@ -6,7 +6,7 @@ from visitloom.config import FIRST_YEAR, SCORED_TARGETS, TARGETS
 from visitloom.functions import scalar as fn
 from visitloom.functions.scalar import rounded
 from visitloom.operators import cohort, folds, labels, ranking, screen, shape
-from visitloom.plans.frames import scored, scores
+from visitloom.plans.frames import scored, scores, stored_proteins
 from visitloom.plans.registry import query
 from visitloom.sources import clinic
 
@@ -237,7 +237,7 @@ SPEARMAN = """, names AS (SELECT DISTINCT UniProt AS feature FROM proteins),
     SPEARMAN + " SELECT feature_a, feature_b, round(r, 6) AS r FROM c",
 )
 def _(spark, sf):
-    m = screen.spearman_matrix(clinic.protein_features(spark, sf))
+    m = screen.spearman_matrix(stored_proteins(spark, sf))
     return m.withColumn("r", rounded("r"))
 
 

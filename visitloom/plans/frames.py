@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visitloom.config import SCORED_TARGETS, TARGETS
 from visitloom.functions.scalar import binary_severity_of, hash_score
+from visitloom.session import materialize
 from visitloom.sources import clinic
 
 
@@ -28,3 +29,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         binary_severity_of("score").alias("label"),
         hash_score(F.concat("target", F.lit(":"), "visit_id")).alias("p"),
     )
+
+
+def stored_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protein features as a written table, for operators that read them often."""
+    return materialize(clinic.protein_features(spark, sf_dir), "proteins")

@@ -7,9 +7,10 @@ from visitloom.functions import scalar as fn
 from visitloom.functions.scalar import rounded
 from visitloom.operators import evaluate, folds, screen, training
 from visitloom.plans.aggregates import _FT, SPEARMAN
-from visitloom.plans.frames import scored, scores
+from visitloom.plans.frames import scored, scores, stored_proteins
 from visitloom.plans.registry import query
 from visitloom.plans.windows import FOLD_SQL, IMPORTANCE, SWEEP, importance
+from visitloom.session import materialize
 from visitloom.sources import clinic
 
 V, S = ("visits",), ("scores",)
@@ -27,7 +28,7 @@ _MOM = """, n AS (SELECT count(DISTINCT visit_id) AS n FROM proteins),
        FROM proteins JOIN mo ON feature = UniProt""",
 )
 def _(spark, sf):
-    f = clinic.protein_features(spark, sf)
+    f = stored_proteins(spark, sf)
     z = screen.standardize(f, screen.feature_moments(f))
     return z.select("visit_id", "feature", rounded("z").alias("z"), rounded("zero_value").alias("zero_value"))
 
@@ -46,7 +47,7 @@ _YJ = "CASE WHEN abs(l) < 1e-9 THEN ln(1 + x) ELSE (pow(x + 1, l) - 1) / l END"
          round(-ln(1 + x), 6) AS yj_neg_2 FROM s""",
 )
 def _(spark, sf):
-    f = clinic.protein_features(spark, sf)
+    f = stored_proteins(spark, sf)
     s = f.join(F.broadcast(screen.feature_moments(f)), "feature").withColumn("x", F.col("value") / F.col("std"))
     return s.select(
         "visit_id",
@@ -69,13 +70,13 @@ def _(spark, sf):
        SELECT feature, l AS lambda, round(v, 3) AS log_likelihood FROM k WHERE rn = 1""",
 )
 def _(spark, sf):
-    fit = screen.yeo_johnson_fit(clinic.protein_features(spark, sf), LAMBDAS)
+    fit = screen.yeo_johnson_fit(stored_proteins(spark, sf), LAMBDAS)
     return fit.withColumn("log_likelihood", F.round("log_likelihood", 3))
 
 
 @query("M03_yeo_johnson_transform")
 def _(spark, sf):
-    f = clinic.protein_features(spark, sf)
+    f = stored_proteins(spark, sf)
     moved = screen.yeo_johnson_apply(f, screen.yeo_johnson_refined(f, LAMBDAS))
     return moved.select("visit_id", "feature", rounded("z").alias("z"), rounded("zero_value").alias("zero_value"))
 
@@ -97,13 +98,13 @@ def with_squares(f):
     + " SELECT feature_a, feature_b, round(r, 6) AS r FROM c WHERE r >= 0.75 OR r < -0.75",
 )
 def _(spark, sf):
-    pairs = screen.high_pairs(screen.spearman_matrix(with_squares(clinic.protein_features(spark, sf))))
+    pairs = screen.high_pairs(screen.spearman_matrix(with_squares(stored_proteins(spark, sf))))
     return pairs.withColumn("r", rounded("r"))
 
 
 @query("M05_prune_correlated")
 def _(spark, sf):
-    m = screen.spearman_matrix(with_squares(clinic.protein_features(spark, sf)))
+    m = screen.spearman_matrix(with_squares(stored_proteins(spark, sf)))
     kept = screen.prune_correlated(m)
     return spark.createDataFrame([(k,) for k in kept], "feature string")
 
@@ -143,16 +144,16 @@ def _(spark, sf):
          UNION ALL SELECT v.visit_id, w.feature, r * (0 - m) FROM (SELECT DISTINCT visit_id FROM feats) v
          CROSS JOIN mean w JOIN r ON r.feature = w.feature AND target = 'updrs_1'
          WHERE NOT EXISTS (SELECT 1 FROM feats f WHERE f.visit_id = v.visit_id AND f.feature = w.feature)),
-       k AS (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY round(contrib, 6) DESC, feature) AS rn FROM c)
-       SELECT visit_id, feature, round(contrib, 6) AS contribution, cast(rn AS int) AS place FROM k WHERE rn <= 10""",
+       k AS (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY round(contrib, 3) DESC, feature) AS rn FROM c)
+       SELECT visit_id, feature, round(contrib, 3) AS contribution, cast(rn AS int) AS place FROM k WHERE rn <= 10""",
 )
 def _(spark, sf):
     from visitloom.operators.contributions import linear_contributions
 
-    feats = clinic.features(spark, sf)
+    feats = materialize(clinic.features(spark, sf), "features")
     weights = screen.target_correlations(feats, clinic.visits(spark, sf), ["updrs_1"])
     weights = weights.select("feature", F.col("r").alias("weight"))
-    return linear_contributions(feats, weights, top=10)
+    return linear_contributions(feats, weights, top=10, places=3)
 
 
 _HARD = ", h AS (SELECT target, label, cast(p >= 0.5 AS int) AS pred FROM scored)"
