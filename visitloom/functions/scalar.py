@@ -16,6 +16,16 @@ def rounded(c, places: int = 6) -> Column:
     return F.round(_col(c).cast("double"), places)
 
 
+def cents(amount) -> Column:
+    """Amount in whole hundredths. Integer sums do not depend on row order and,
+    unlike wide decimals, stay in fixed-width aggregation buffers."""
+    return F.floor(_col(amount) * 100 + F.lit(0.5)).cast("bigint")
+
+
+def from_cents(total) -> Column:
+    return _col(total) / F.lit(100.0)
+
+
 def feature_key(peptide, protein, peptide_first: bool = True) -> Column:
     """Composite name; NULL when either part is NULL."""
     parts = (_col(peptide), _col(protein)) if peptide_first else (_col(protein), _col(peptide))

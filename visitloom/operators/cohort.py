@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from visitloom.config import FIRST_YEAR
 from visitloom.functions.scalar import pearson
 from visitloom.operators.ranking import quantiles
+from visitloom.session import materialize
 
 
 def score_range(scores: DataFrame) -> DataFrame:
@@ -119,6 +120,7 @@ def tertile_edges(df: DataFrame, value: str, group: list[str]) -> DataFrame:
 
 def tertile_class(df: DataFrame, value: str, group: list[str], out: str = "level") -> DataFrame:
     """low / medium / high by right-closed tertile edges; ties share a class."""
+    df = materialize(df, "to-class")
     edges = tertile_edges(df, value, group)
     x = F.col(value)
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from visitloom.config import N_FOLDS
 from visitloom.functions.scalar import shuffle_bucket, shuffle_key
 from visitloom.operators.ranking import running
+from visitloom.session import materialize
 
 
 def sturges(n_rows) -> Column:
@@ -51,6 +52,7 @@ def stratified_folds(
     n_folds: int = N_FOLDS,
     seed: int = 42,
     out: str = "kfold",
+    stored: bool = False,
 ) -> DataFrame:
     """Fold ids with the per-(class, fold) counts of a stratified k-fold.
 
@@ -61,7 +63,7 @@ def stratified_folds(
     """
     keyed = df.withColumn("_k", shuffle_key(seed, key)).withColumn("_one", F.lit(1))
     bucket = F.col(stratum) * F.lit(4096) + shuffle_bucket("_k")
-    placed = running(keyed, list(group), [stratum, "_k"], {"_one": "_pos"}, bucket)
+    placed = running(keyed, list(group), [stratum, "_k"], {"_one": "_pos"}, bucket, stored=stored)
     return placed.withColumn(out, F.pmod("_pos", F.lit(n_folds)).cast("int")).drop(
         "_k", "_one", "_pos"
     )
@@ -73,22 +75,27 @@ def binned_folds(
     n_rows: str | int | None = None,
     key: str = "visit_id",
     seed: int = 42,
+    stored: bool = False,
 ) -> DataFrame:
     """Folds stratified by the binned score of each target.
 
     The bin count follows Sturges' rule on ``n_rows``: a number, the name of a
-    column that holds it, or (default) the rows of each target.
+    column that holds it, or (default) the rows of each target. The rows are
+    read for their range, their bucket totals and their positions, so they are
+    written once first; ``stored`` says they come from a written table already.
     """
-    if n_rows is None:
-        counts = df.groupBy("target").agg(F.count(F.lit(1)).alias("_rows"))
-        df = df.join(F.broadcast(counts), "target")
-        n_rows = "_rows"
-    size = F.col(n_rows) if isinstance(n_rows, str) else F.lit(n_rows)
-    sized = df.withColumn("_bins", sturges(size))
-    if isinstance(n_rows, str):
-        sized = sized.drop(n_rows)
-    binned = equal_width_bins(sized, value, ["target"], F.col("_bins"), "_bin").drop("_bins")
-    return stratified_folds(binned, "_bin", key, seed=seed).drop("_bin")
+    if not stored:
+        df = materialize(df, "to-fold")
+    # one row per target
+    stats = df.groupBy("target").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
+    size = F.col("_n") if n_rows is None else F.col(n_rows) if isinstance(n_rows, str) else F.lit(n_rows)
+    binned = df.join(F.broadcast(stats), "target").withColumn(
+        "_bin", bin_of(F.col(value), F.col("_lo"), F.col("_hi"), sturges(size))
+    )
+    drop = ["_lo", "_hi", "_n", *([n_rows] if isinstance(n_rows, str) else [])]
+    return stratified_folds(binned.drop(*drop), "_bin", key, seed=seed, stored=True).drop("_bin")
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -15,6 +15,7 @@ from visitloom.functions.scalar import visit_key
 from visitloom.operators.cohort import first_last
 from visitloom.operators.labels import per_patient
 from visitloom.operators.ranking import quantiles
+from visitloom.session import materialize
 
 
 def visit_pairs(visits: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def large_change_flags(scores: DataFrame, cut: float = 0.66) -> DataFrame:
 
     A patient with one visit has no rate and counts as 1.
     """
-    rates = monthly_rate(scores)
+    rates = materialize(monthly_rate(scores), "rates")
     q_rate = quantiles(rates, ["target"], "avg_monthly_diff", {"_q_rate": cut})
     q_last = quantiles(rates, ["target"], "last_score", {"_q_last": cut})
     edges = q_rate.join(q_last, "target")

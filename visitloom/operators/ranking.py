@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.config import RANK_BUCKETS
+from visitloom.session import materialize
 
 
 def magnitude_bucket(x, per_octave: int = 64) -> Column:
@@ -40,27 +41,31 @@ def running(
     order: list,
     weights: dict[str, str],
     bucket: Column,
+    totals: dict[str, str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Sum of each weight over the cells strictly before a cell, in its group.
 
-    ``weights`` maps a weight column to the name of its running sum.
+    ``weights`` maps a weight column to the name of its running sum, ``totals``
+    a weight column to the name of its sum over the group. The cells are read
+    twice, so they are written once first; ``stored`` says they come from a
+    written table already.
     """
+    totals = totals or {}
     cells = cells.withColumn("_bucket", bucket)
-    totals = cells.groupBy(*group, "_bucket").agg(
-        *[F.sum(w).alias(f"_t_{w}") for w in weights]
-    )
-    over_buckets = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
+    if not stored:
+        cells = materialize(cells, "cells")
+    sums = cells.groupBy(*group, "_bucket").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
         *group,
         "_bucket",
         *[
-            F.coalesce(F.sum(f"_t_{w}").over(over_buckets), F.lit(0)).alias(f"_o_{w}")
+            F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
             for w in weights
         ],
+        *[F.sum(f"_t_{w}").over(whole).alias(name) for w, name in totals.items()],
     )
     in_bucket = (
         Window.partitionBy(*group, "_bucket")
@@ -77,6 +82,7 @@ def running(
     return inside.join(offsets, [*group, "_bucket"]).select(
         *[c for c in cells.columns if c != "_bucket"],
         *[(F.col(f"_o_{w}") + F.col(f"_i_{w}")).alias(name) for w, name in weights.items()],
+        *totals.values(),
     )
 
 
@@ -90,30 +96,29 @@ def quantiles(
     """Exact interpolated quantiles per group, one column per probability.
 
     NULL values are ignored. No buffer ever holds a group's values: equal
-    values fold into cells, and only the cells that cover a wanted position
-    are kept. Groups are score targets or contract features, so the per-group
-    sizes that are broadcast have at most as many rows as the contract.
+    values fold into cells, and a cell only says which wanted positions it
+    covers.
     """
-    if not group:
-        whole = values.withColumn("_all", F.lit(0))
-        return quantiles(whole, ["_all"], value, probabilities, bucket).drop("_all")
     cells = (
         values.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     numbered = running(
-        cells, group, ["_v"], {"_c": "_before"}, bucket if bucket is not None else magnitude_bucket("_v")
+        cells,
+        group,
+        ["_v"],
+        {"_c": "_before"},
+        bucket if bucket is not None else magnitude_bucket("_v"),
+        totals={"_c": "_n"},
     )
-    sizes = cells.groupBy(*group).agg(F.sum("_c").alias("_n"))
-    joined = numbered.join(F.broadcast(sizes), group)
     picks = []
     for i, p in enumerate(probabilities.values()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         for j, at in enumerate((F.floor(pos), F.ceil(pos))):
             inside = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_c"))
             picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_q{i}_{j}"))
-    picked = joined.groupBy(*group).agg(F.max("_n").alias("_n"), *picks)
+    picked = numbered.groupBy(*group).agg(F.max("_n").alias("_n"), *picks)
     out = []
     for i, (name, p) in enumerate(probabilities.items()):
         pos = (F.col("_n") - 1) * F.lit(float(p))

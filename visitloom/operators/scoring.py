@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.config import SCORE_THRESHOLDS
-from visitloom.functions.scalar import call_at_threshold, medication_dummies
+from visitloom.functions.scalar import call_at_threshold, cents, from_cents, medication_dummies
 
 # Columns that stand before the contract in every feature vector.
 EXTRA = ["visit_month", "num_prot_pep", "num_prot", "num_pept", "med_on", "med_unknown"]
@@ -62,10 +62,8 @@ def record_vectors(records: DataFrame, contract: DataFrame) -> DataFrame:
         part = (
             F.col("_cells") if kind is None else F.filter("_cells", lambda c: c["kind"] == kind)
         )
-        zero = F.lit(0).cast("decimal(38,2)")
-        return F.aggregate(
-            part, zero, lambda acc, c: (acc + c["value"].cast("decimal(18,2)")).cast("decimal(38,2)")
-        ).cast("double")
+        zero = F.lit(0).cast("bigint")
+        return from_cents(F.aggregate(part, zero, lambda acc, c: acc + cents(c["value"])))
 
     full = add_dummies(
         with_cells.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.functions.scalar import feature_key
+from visitloom.functions.scalar import cents, feature_key, from_cents
 
 
 def long_features(
@@ -94,14 +94,15 @@ def transpose(df: DataFrame, key: str, columns: list[str], keys: list[str], name
 def visit_totals(features: DataFrame, kind: str = "kind") -> DataFrame:
     """Sums per visit over proteins, peptides and both, plus real counts.
 
-    Sums run in decimals, so they do not depend on the order of rows.
+    Sums run in whole hundredths, so they do not depend on the order of rows.
     """
-    amount = F.col("value").cast("decimal(18,2)")
+    amount = cents("value")
     is_prot = F.col(kind) == "protein"
+    none = F.lit(0).cast("bigint")
     return features.groupBy("visit_id").agg(
-        F.sum(amount).cast("double").alias("num_prot_pep"),
-        F.coalesce(F.sum(F.when(is_prot, amount)).cast("double"), F.lit(0.0)).alias("num_prot"),
-        F.coalesce(F.sum(F.when(~is_prot, amount)).cast("double"), F.lit(0.0)).alias("num_pept"),
+        from_cents(F.sum(amount)).alias("num_prot_pep"),
+        from_cents(F.sum(F.when(is_prot, amount).otherwise(none))).alias("num_prot"),
+        from_cents(F.sum(F.when(~is_prot, amount).otherwise(none))).alias("num_pept"),
         F.count_if(is_prot & (F.col("value") > 0)).alias("n_prot_gt_0"),
         F.count_if(~is_prot & (F.col("value") > 0)).alias("n_pept_gt_0"),
     )

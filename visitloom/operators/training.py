@@ -9,6 +9,7 @@ from visitloom.config import TARGETS
 from visitloom.functions.scalar import severity_of
 from visitloom.operators.folds import binned_folds
 from visitloom.operators.shape import visit_totals
+from visitloom.session import materialize
 
 
 def sampled_visits(visits: DataFrame, features: DataFrame) -> DataFrame:
@@ -22,14 +23,15 @@ def training_index(
     """One row per (sampled visit, target with a score): fold, category, totals.
 
     Bins follow Sturges' rule on the sampled visits before NULL scores drop.
-    The feature values stay in the long frame, keyed by visit.
+    The feature values stay in the long frame, keyed by visit. The visits with
+    their totals are written once, as counts, bins and folds all read them.
     """
-    base = sampled_visits(visits, features)
+    base = materialize(sampled_visits(visits, features), "sampled-visits")
     n_rows = F.broadcast(base.agg(F.count(F.lit(1)).alias("_rows")).withColumn("_j", F.lit(1)))
     ids = ["visit_id", "patient_id", "visit_month", "num_prot_pep", "num_prot", "num_pept"]
     long = base.unpivot(ids, list(targets), "target", "score").where("score is not null")
     sized = long.withColumn("_j", F.lit(1)).join(n_rows, "_j").drop("_j")
-    folded = binned_folds(sized, "score", "_rows", seed=seed)
+    folded = binned_folds(sized, "score", "_rows", seed=seed, stored=True)
     return folded.withColumn("cat", severity_of("score"))
 
 

@@ -48,7 +48,7 @@ def _(spark, sf):
 def _(spark, sf):
     extra = clinic.proteins(spark, sf).groupBy("visit_id").agg(
         F.count(F.lit(1)).alias("n_prot"),
-        F.sum(F.col("NPX").cast("decimal(18,2)")).cast("double").alias("num_prot"),
+        fn.from_cents(F.sum(fn.cents("NPX"))).alias("num_prot"),
     )
     return clinic.visits(spark, sf).select("visit_id", "updrs_1").join(extra, "visit_id", "left")
 
@@ -201,7 +201,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sums = clinic.proteins(spark, sf).groupBy("visit_id").agg(
-        F.sum(F.col("NPX").cast("decimal(18,2)")).cast("double").alias("num_prot")
+        fn.from_cents(F.sum(fn.cents("NPX"))).alias("num_prot")
     )
     v = clinic.visits(spark, sf).where(F.col("visit_month") <= FIRST_YEAR)
     return v.select("visit_id", "patient_id", "visit_month").join(sums, "visit_id")

@@ -17,6 +17,11 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # test tables are small: keep the cores busy instead of merging partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # a test table is one file and so one scan task: shuffle mid-sized joins,
+        # as a cluster would, rather than finish them inside that task
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -6,27 +6,22 @@ visit month, part brand the protein, part type + brand the peptide.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitloom.functions.scalar import feature_key
-from visitloom.operators.skew import attach_aggregate
+from visitloom.functions.scalar import cents, feature_key, from_cents
 from visitloom.sources.files import table
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with patient and month since that patient's first order."""
-    dated = table(spark, sf_dir, "orders").select(
+    """Orders with patient and calendar month number."""
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.col("o_custkey").alias("patient_id"),
         "o_orderstatus",
         "o_totalprice",
         (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_ym"),
     )
-    first = attach_aggregate(dated, ["patient_id"], F.min("_ym").alias("_first"))
-    return first.withColumn("visit_month", (F.col("_ym") - F.col("_first")).cast("int")).drop(
-        "_ym", "_first"
-    )
 
 
 def _visit_id():
@@ -34,7 +29,12 @@ def _visit_id():
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per visit: ids, month, four nullable scores, medication state."""
+    """One row per visit: ids, month, four nullable scores, medication state.
+
+    Orders fold into (patient, calendar month) before the first month is
+    looked up, so the window over a patient holds at most the calendar's months
+    even where one patient owns a third of the orders.
+    """
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -44,10 +44,8 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("l_tax").alias("_tx"),
         )
     )
-    level = F.col("patient_id") % 5 + 1
-    scale = lambda x: F.floor(x * level / 5).cast("int")
     joined = _orders(spark, sf_dir).join(lines, "o_orderkey", "left")
-    per_visit = joined.groupBy("patient_id", "visit_month").agg(
+    per_month = joined.groupBy("patient_id", "_ym").agg(
         F.max("o_totalprice").alias("_price"),
         F.min("_q").alias("_q"),
         F.min("_p").alias("_p"),
@@ -60,7 +58,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("med"),
     )
-    return per_visit.select(
+    first = F.min("_ym").over(Window.partitionBy("patient_id"))
+    dated = per_month.withColumn("visit_month", (F.col("_ym") - first).cast("int"))
+    level = F.col("patient_id") % 5 + 1
+    scale = lambda x: F.floor(x * level / 5).cast("int")
+    return dated.select(
         _visit_id().alias("visit_id"),
         "patient_id",
         "visit_month",
@@ -73,46 +75,54 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their visit, brand and type; amounts as decimals."""
-    orders = _orders(spark, sf_dir).select("o_orderkey", "patient_id", "visit_month")
+    """Line items with their patient, month, brand and type; amounts in hundredths."""
+    orders = _orders(spark, sf_dir).select("o_orderkey", "patient_id", "_ym")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_partkey").alias("p_partkey"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
+        cents("l_extendedprice").alias("price"),
+        cents("l_quantity").alias("quantity"),
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return lines.join(parts, "p_partkey").join(orders, "o_orderkey")
 
 
+def _with_visit(sums: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month since the patient's first order, and the visit id.
+
+    ``sums`` is aggregated by patient, calendar month and feature, so a patient
+    has at most months x features rows here and the join cannot be skewed.
+    """
+    first = _orders(spark, sf_dir).groupBy("patient_id").agg(F.min("_ym").alias("_first"))
+    dated = sums.join(first, "patient_id").withColumn(
+        "visit_month", (F.col("_ym") - F.col("_first")).cast("int")
+    )
+    return dated.withColumn("visit_id", _visit_id()).drop("_ym", "_first")
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long protein table, one row per (visit, protein)."""
-    return (
+    sums = (
         _sample_lines(spark, sf_dir)
-        .groupBy("patient_id", "visit_month", "p_brand")
-        .agg(F.sum("price").cast("double").alias("NPX"))
-        .select(
-            _visit_id().alias("visit_id"),
-            "visit_month",
-            "patient_id",
-            F.col("p_brand").alias("UniProt"),
-            "NPX",
-        )
+        .groupBy("patient_id", "_ym", F.col("p_brand").alias("UniProt"))
+        .agg(from_cents(F.sum("price")).alias("NPX"))
+    )
+    return _with_visit(sums, spark, sf_dir).select(
+        "visit_id", "visit_month", "patient_id", "UniProt", "NPX"
     )
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long peptide table, one row per (visit, protein, peptide)."""
-    return (
+    sums = (
         _sample_lines(spark, sf_dir)
-        .groupBy("patient_id", "visit_month", "p_brand", "p_type")
-        .agg(F.sum("quantity").cast("double").alias("PeptideAbundance"))
-        .select(
-            _visit_id().alias("visit_id"),
-            F.col("p_brand").alias("UniProt"),
-            F.col("p_type").alias("Peptide"),
-            "PeptideAbundance",
+        .groupBy(
+            "patient_id", "_ym", F.col("p_brand").alias("UniProt"), F.col("p_type").alias("Peptide")
         )
+        .agg(from_cents(F.sum("quantity")).alias("PeptideAbundance"))
+    )
+    return _with_visit(sums, spark, sf_dir).select(
+        "visit_id", "UniProt", "Peptide", "PeptideAbundance"
     )
 
 
@@ -146,10 +156,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("quantity").alias("amount"),
         ),
     )
-    return (
+    sums = (
         _sample_lines(spark, sf_dir)
-        .select("patient_id", "visit_month", F.inline(both))
-        .groupBy("patient_id", "visit_month", "kind", "feature")
-        .agg(F.sum("amount").cast("double").alias("value"))
-        .select(_visit_id().alias("visit_id"), "kind", "feature", "value")
+        .select("patient_id", "_ym", F.inline(both))
+        .groupBy("patient_id", "_ym", "kind", "feature")
+        .agg(from_cents(F.sum("amount")).alias("value"))
     )
+    return _with_visit(sums, spark, sf_dir).select("visit_id", "kind", "feature", "value")
