@@ -132,9 +132,17 @@ def shuffle_key(seed: int, key) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string")))
 
 
-def shuffle_bucket(order_key, digits: int = 3) -> Column:
-    """Leading hex digits of a shuffle key: monotone in it, and even."""
-    return F.conv(F.substring(_col(order_key), 1, digits), 16, 10).cast("int")
+def shuffle_bucket(order_key, n_rows=None) -> Column:
+    """Leading hex digits of a shuffle key: monotone in it, and even.
+
+    With ``n_rows`` the digits follow the number of rows, so that a bucket holds
+    some 100,000 rows at most up to a hundred billion rows.
+    """
+    digits = F.lit(3)
+    if n_rows is not None:
+        n = _col(n_rows)
+        digits = F.when(n < 10_000_000, 2).when(n < 1_000_000_000, 4).otherwise(5)
+    return F.conv(F.substr(_col(order_key), F.lit(1), digits), 16, 10).cast("bigint")
 
 
 def hash_score(key) -> Column:

@@ -53,19 +53,21 @@ def stratified_folds(
     seed: int = 42,
     out: str = "kfold",
     stored: bool = False,
+    n_rows: str | None = None,
 ) -> DataFrame:
     """Fold ids with the per-(class, fold) counts of a stratified k-fold.
 
     Rows are laid out by (class, shuffle key) inside their group and dealt
     round robin, so class sizes differ by at most one between folds. Positions
     come from bucket totals (class, key prefix), so neither a group nor a class
-    is sorted as a whole. ``stratum`` is a small non-negative integer.
+    is sorted as a whole. ``stratum`` is a small non-negative integer and
+    ``n_rows`` a column with the rows of the group, which sizes the buckets.
     """
     keyed = df.withColumn("_k", shuffle_key(seed, key)).withColumn("_one", F.lit(1))
-    bucket = F.col(stratum) * F.lit(4096) + shuffle_bucket("_k")
+    bucket = F.col(stratum) * F.lit(16**5) + shuffle_bucket("_k", n_rows)
     placed = running(keyed, list(group), [stratum, "_k"], {"_one": "_pos"}, bucket, stored=stored)
     return placed.withColumn(out, F.pmod("_pos", F.lit(n_folds)).cast("int")).drop(
-        "_k", "_one", "_pos"
+        "_k", "_one", "_pos", *([n_rows] if n_rows else [])
     )
 
 
@@ -94,8 +96,9 @@ def binned_folds(
     binned = df.join(F.broadcast(stats), "target").withColumn(
         "_bin", bin_of(F.col(value), F.col("_lo"), F.col("_hi"), sturges(size))
     )
-    drop = ["_lo", "_hi", "_n", *([n_rows] if isinstance(n_rows, str) else [])]
-    return stratified_folds(binned.drop(*drop), "_bin", key, seed=seed, stored=True).drop("_bin")
+    drop = ["_lo", "_hi", *([n_rows] if isinstance(n_rows, str) else [])]
+    folded = stratified_folds(binned.drop(*drop), "_bin", key, seed=seed, stored=True, n_rows="_n")
+    return folded.drop("_bin")
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -6,6 +6,10 @@ visits and not from the feature rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +17,6 @@ from visitloom.functions.scalar import pearson, yeo_johnson
 from visitloom.operators.ranking import average_rank_cells
 from visitloom.session import materialize
 
-# Name of the constant-1 feature that carries a visit's count through an aggregate.
-INTERCEPT = "(1)"
-
-
 def packed(features: DataFrame) -> DataFrame:
     """One row per sampled visit with its (feature, value) list.
 
@@ -27,10 +27,11 @@ def packed(features: DataFrame) -> DataFrame:
     )
 
 
-def _with_intercept(packed_rows: DataFrame) -> DataFrame:
-    one = F.struct(F.lit(INTERCEPT).alias("feature"), F.lit(1.0).alias("value"))
-    others = [c for c in packed_rows.columns if c != "kv"]
-    return packed_rows.select(*others, F.inline(F.array_append("kv", one)))
+def n_sampled(features: DataFrame) -> DataFrame:
+    """One row: the number of visits that have any feature."""
+    return F.broadcast(
+        features.agg(F.countDistinct("visit_id").alias("n")).withColumn("_j", F.lit(1))
+    )
 
 
 def target_correlations(
@@ -38,49 +39,42 @@ def target_correlations(
 ) -> DataFrame:
     """(target, feature, r): each zero-filled feature against each score.
 
-    One pass: a constant feature rides along with every sampled visit, so the
-    same aggregate yields n, sum(y) and sum(y^2) for the visits with a score.
+    Feature sums come from the present rows; n, sum(y) and sum(y^2) from the
+    sampled visits, zeros included. Both aggregate map-side to one row per
+    feature and one row in all. ``features`` is read twice: pass a table.
     """
-    rows = _with_intercept(
-        packed(features).join(visits.select("visit_id", *targets), "visit_id")
-    )
+    scores = visits.select("visit_id", *[F.col(t).cast("double").alias(t) for t in targets])
     x = F.col("value")
-    aggs = []
-    for t in targets:
-        y = F.col(t).cast("double")
-        known = lambda e, t=t: F.sum(F.when(F.col(t).isNotNull(), e))
-        aggs.append(
-            F.struct(
-                F.lit(t).alias("target"),
-                known(x).alias("sx"),
-                known(x * x).alias("sxx"),
-                known(x * y).alias("sxy"),
-                known(y * y).alias("syy"),
-            )
-        )
-    sums = rows.groupBy("feature").agg(F.array(*aggs).alias("_m")).select("feature", F.inline("_m"))
-    # as many rows as features per target
-    per_target = Window.partitionBy("target")
-    unit = lambda c: F.max(F.when(F.col("feature") == INTERCEPT, F.col(c))).over(per_target)
-    full = sums.select(
-        "*", unit("sx").alias("n"), unit("sxy").alias("sy"), unit("syy").alias("all_yy")
+
+    def moments(named) -> Column:
+        return F.array(*[F.struct(F.lit(t).alias("target"), *named(F.col(t))) for t in targets])
+
+    def per_feature(y):
+        known = lambda e: F.sum(F.when(y.isNotNull(), e))
+        return known(x).alias("sx"), known(x * x).alias("sxx"), known(x * y).alias("sxy")
+
+    def per_target(y):
+        return F.count(y).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")
+
+    sums = (
+        features.select("visit_id", "feature", "value")
+        .join(scores, "visit_id")
+        .groupBy("feature")
+        .agg(moments(per_feature).alias("_m"))
+        .select("feature", F.inline("_m"))
     )
-    return full.where(F.col("feature") != INTERCEPT).select(
-        "target", "feature", pearson("n", "sx", "sy", "sxx", "all_yy", "sxy").alias("r")
+    sampled = scores.join(features.select("visit_id"), "visit_id", "left_semi")
+    bases = sampled.agg(moments(per_target).alias("_m")).select(F.inline("_m"))
+    return sums.join(F.broadcast(bases), "target").select(
+        "target", "feature", pearson("n", "sx", "sy", "sxx", "syy", "sxy").alias("r")
     )
 
 
 def feature_moments(features: DataFrame) -> DataFrame:
     """(feature, n, mean, std): population moments over all sampled visits."""
-    rows = _with_intercept(packed(features))
     x = F.col("value")
-    sums = rows.groupBy("feature").agg(
-        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.count(F.lit(1)).alias("_c")
-    )
-    everyone = Window.partitionBy(F.lit(0))
-    full = sums.select(
-        "*", F.max(F.when(F.col("feature") == INTERCEPT, F.col("_c"))).over(everyone).alias("n")
-    ).where(F.col("feature") != INTERCEPT)
+    sums = features.groupBy("feature").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+    full = sums.withColumn("_j", F.lit(1)).join(n_sampled(features), "_j")
     mean = F.col("sx") / F.col("n")
     var = F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))
     return full.select("feature", "n", mean.alias("mean"), F.sqrt(var).alias("std"))
@@ -105,22 +99,14 @@ def feature_ranks(features: DataFrame) -> DataFrame:
     The zero rows of a feature are one tie block of known size, added as a
     single cell; so only present values are ranked, and u is 0 for absent ones.
     """
-    counted = _with_intercept(packed(features))
-    cells = counted.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = cells.groupBy("feature").agg(F.sum("_c").alias("_have"))
-    everyone = Window.partitionBy(F.lit(0))
-    sizes = sizes.select(
-        "*", F.max(F.when(F.col("feature") == INTERCEPT, F.col("_have"))).over(everyone).alias("_n")
-    ).where(F.col("feature") != INTERCEPT)
-    zeros = sizes.select(
-        "feature", F.lit(0.0).alias("value"), (F.col("_n") - F.col("_have")).alias("_c")
-    )
-    all_cells = (
-        cells.where(F.col("feature") != INTERCEPT)
-        .unionByName(zeros)
-        .groupBy("feature", "value")
-        .agg(F.sum("_c").alias("_c"))
+    cells = features.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    present = features.groupBy("feature").agg(F.count(F.lit(1)).alias("_have"))
+    zeros = (
+        present.withColumn("_j", F.lit(1))
+        .join(n_sampled(features), "_j")
+        .select("feature", F.lit(0.0).alias("value"), (F.col("n") - F.col("_have")).alias("_c"))
     )
+    all_cells = cells.unionByName(zeros).groupBy("feature", "value").agg(F.sum("_c").alias("_c"))
     ranked = average_rank_cells(all_cells, ["feature"], "value", "_c")
     at_zero = ranked.where("value = 0").select("feature", F.col("avg_rank").alias("_zero"))
     shifted = ranked.join(F.broadcast(at_zero), "feature").select(
@@ -134,55 +120,54 @@ def feature_ranks(features: DataFrame) -> DataFrame:
 def matrix_from_sparse(rows: DataFrame, value: str) -> DataFrame:
     """(feature_a, feature_b, r), a before b, of columns that are 0 where absent.
 
-    Products are built inside a visit (no longer than the contract) and summed
-    map-side; pairs that never meet still get their r from the moments.
+    Each task folds its visits into one Gram matrix, with a constant column for
+    the sums and the count, and hands that on: pairs are emitted once per task
+    and not once per visit. The matrix is as wide as the contract, whose names
+    are listed on the driver.
     """
-    lists = rows.groupBy("visit_id").agg(
-        F.sort_array(F.collect_list(F.struct("feature", F.col(value).alias("value")))).alias("_f")
+    names = [r[0] for r in rows.select("feature").distinct().orderBy("feature").collect()]
+    spark = rows.sparkSession
+    index = spark.createDataFrame(list(enumerate(names)), "pos int, feature string")
+    width = len(names)
+    lists = (
+        rows.join(F.broadcast(index), "feature")
+        .groupBy("visit_id")
+        .agg(F.collect_list("pos").alias("pos"), F.collect_list(F.col(value)).alias("val"))
+        .select("pos", "val")
     )
-    one = F.struct(F.lit(INTERCEPT).alias("feature"), F.lit(1.0).alias("value"))
-    products = F.flatten(
-        F.transform(
-            "_f",
-            lambda a, i: F.transform(
-                F.concat(F.array(one), F.slice("_f", i + 1, F.size("_f") - i)),
-                lambda b: F.struct(
-                    a["feature"].alias("feature_a"),
-                    b["feature"].alias("feature_b"),
-                    (a["value"] * b["value"]).alias("_p"),
-                ),
-            ),
-        )
-    )
-    visit_row = F.array(
-        F.struct(
-            F.lit(INTERCEPT).alias("feature_a"), F.lit(INTERCEPT).alias("feature_b"), F.lit(1.0).alias("_p")
-        )
-    )
-    sums = (
-        lists.select(F.inline(F.concat(products, visit_row)))
-        .groupBy("feature_a", "feature_b")
-        .agg(F.sum("_p").alias("_p"))
-    )
-    # from here on the frames are as long as the contract, or its square
-    whole = Window.partitionBy(F.lit(0))
-    singles = (
-        sums.where((F.col("feature_b") == INTERCEPT) | (F.col("feature_a") == F.col("feature_b")))
-        .groupBy(F.col("feature_a").alias("feature"))
-        .agg(
-            F.max(F.when(F.col("feature_b") == INTERCEPT, F.col("_p"))).alias("s"),
-            F.max(F.when(F.col("feature_a") == F.col("feature_b"), F.col("_p"))).alias("ss"),
-        )
-        .select("*", F.max(F.when(F.col("feature") == INTERCEPT, F.col("ss"))).over(whole).alias("n"))
-        .where(F.col("feature") != INTERCEPT)
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.zeros((len(batch), width + 1))
+            x[:, width] = 1.0
+            at = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
+            x[at, np.concatenate(batch["pos"].to_numpy())] = np.concatenate(batch["val"].to_numpy())
+            total += x.T @ x
+        if total[width, width]:
+            a, b = np.triu_indices(width + 1)
+            yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "g": total[a, b]})
+
+    sums = lists.mapInPandas(gram, "a int, b int, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+    # from here on everything is as long as the square of the contract
+    sums = materialize(sums, "gram")
+    ones = sums.where(F.col("b") == width).select("a", F.col("g").alias("s"))
+    singles = sums.where((F.col("a") == F.col("b")) & (F.col("a") < width)).select(
+        "a", F.col("g").alias("ss")
+    ).join(ones, "a").join(F.broadcast(index.select(F.col("pos").alias("a"), "feature")), "a")
+    n = ones.where(F.col("a") == width).select(F.lit(width).alias("_w"), F.col("s").alias("n"))
+    left = singles.select("a", F.col("feature").alias("feature_a"), F.col("s").alias("sa"), F.col("ss").alias("saa"))
+    right = singles.select(
+        F.col("a").alias("b"), F.col("feature").alias("feature_b"), F.col("s").alias("sb"), F.col("ss").alias("sbb")
     )
-    a = singles.select("n", F.col("feature").alias("feature_a"), F.col("s").alias("sa"), F.col("ss").alias("saa"))
-    b = singles.select("n", F.col("feature").alias("feature_b"), F.col("s").alias("sb"), F.col("ss").alias("sbb"))
-    pairs = a.join(b, (a["n"] == b["n"]) & (a["feature_a"] < b["feature_b"])).drop(b["n"])
-    return pairs.join(sums, ["feature_a", "feature_b"], "left").select(
-        "feature_a",
-        "feature_b",
-        pearson("n", "sa", "sb", "saa", "sbb", F.coalesce("_p", F.lit(0.0))).alias("r"),
+    pairs = sums.where((F.col("a") < F.col("b")) & (F.col("b") < width)).withColumn("_w", F.lit(width))
+    return (
+        pairs.join(F.broadcast(left), "a")
+        .join(F.broadcast(right), "b")
+        .join(F.broadcast(n), "_w")
+        .select("feature_a", "feature_b", pearson("n", "sa", "sb", "saa", "sbb", "g").alias("r"))
     )
 
 

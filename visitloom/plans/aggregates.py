@@ -6,7 +6,7 @@ from visitloom.config import FIRST_YEAR, SCORED_TARGETS, TARGETS
 from visitloom.functions import scalar as fn
 from visitloom.functions.scalar import rounded
 from visitloom.operators import cohort, folds, labels, ranking, screen, shape
-from visitloom.plans.frames import scored, scores, stored_proteins
+from visitloom.plans.frames import scored, scores, stored_features, stored_proteins
 from visitloom.plans.registry import query
 from visitloom.sources import clinic
 
@@ -205,7 +205,7 @@ _FT = """, n AS (SELECT s.target, count(*) AS n, sum(cast(score AS double)) AS s
 )
 def _(spark, sf):
     r = screen.target_correlations(
-        clinic.features(spark, sf), clinic.visits(spark, sf), list(SCORED_TARGETS)
+        stored_features(spark, sf), clinic.visits(spark, sf), list(SCORED_TARGETS)
     )
     return r.withColumn("r", rounded("r"))
 
@@ -217,7 +217,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     early = clinic.visits(spark, sf).where(F.col("visit_month") <= FIRST_YEAR)
-    r = screen.target_correlations(clinic.features(spark, sf), early, list(SCORED_TARGETS))
+    r = screen.target_correlations(stored_features(spark, sf), early, list(SCORED_TARGETS))
     return r.withColumn("r", rounded("r"))
 
 

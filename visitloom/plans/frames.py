@@ -34,3 +34,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protein features as a written table, for operators that read them often."""
     return materialize(clinic.protein_features(spark, sf_dir), "proteins")
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of both kinds as a written table."""
+    return materialize(clinic.features(spark, sf_dir), "features")

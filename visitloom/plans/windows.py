@@ -7,7 +7,7 @@ from visitloom.functions import scalar as fn
 from visitloom.functions.scalar import rounded
 from visitloom.operators import cohort, folds, labels, longitudinal, ranking, screen
 from visitloom.plans.aggregates import _FT, _LAB, _labelled
-from visitloom.plans.frames import scored, scores
+from visitloom.plans.frames import scored, scores, stored_features
 from visitloom.plans.registry import query
 from visitloom.sources import clinic
 from visitloom.sources.files import table
@@ -123,7 +123,7 @@ IMPORTANCE = ", imp AS (SELECT feature, abs(r) AS importance FROM r WHERE target
 
 def importance(spark, sf):
     """A given importance: absolute correlation with the first score."""
-    r = screen.target_correlations(clinic.features(spark, sf), clinic.visits(spark, sf), ["updrs_1"])
+    r = screen.target_correlations(stored_features(spark, sf), clinic.visits(spark, sf), ["updrs_1"])
     return r.select("feature", F.abs("r").alias("importance"))
 
 
@@ -150,7 +150,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     r = screen.target_correlations(
-        clinic.features(spark, sf), clinic.visits(spark, sf), list(SCORED_TARGETS)
+        stored_features(spark, sf), clinic.visits(spark, sf), list(SCORED_TARGETS)
     )
     # one row per feature and target: the windows are as long as the contract
     w = ranking.Window.partitionBy("target")
