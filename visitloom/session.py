@@ -31,21 +31,27 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, read from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a fresh folder is made and
-    set, so every executor of that session can still see it.
+    Where the setting is absent a local session (tests) gets one fresh folder of
+    its own; any other session is an error, as its executors share no folder
+    that is known here.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not base:
-        base = tempfile.mkdtemp(prefix="visitloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if context.applicationId not in _LOCAL_DIRS:
+        made = tempfile.mkdtemp(prefix="visitloom-")
+        context.setCheckpointDir(made)
+        _LOCAL_DIRS[context.applicationId] = made
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
