@@ -56,6 +56,14 @@ def test_future_label_sees_later_visits_and_window_label_does_not(scores):
     assert rows(labels.window_label(lab).select("visit_id", "max_cat")) == [("1_0", 0)]
 
 
+def test_wide_labels_equal_the_long_ones(visits, scores):
+    lab = labels.visit_labels(scores)
+    for whole, long in ((True, labels.future_label(lab)), (False, labels.window_label(lab))):
+        wide = labels.patient_labels(visits, ["updrs_1"], whole_history=whole)
+        keep = ("visit_id", "target", "cat", "max_cat")
+        assert rows(wide.select(*keep), "visit_id") == rows(long.select(*keep), "visit_id")
+
+
 def test_peptide_only_visits_are_dropped(spark):
     prot = spark.createDataFrame([("a", "P1", 2.0)], "visit_id string, UniProt string, NPX double")
     pept = spark.createDataFrame(

@@ -118,10 +118,18 @@ def threshold_sweep(df: DataFrame, group: list[str], points: int = 100, score: s
     cells = df.groupBy(*group, reached.alias("_i")).agg(
         F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg")
     )
-    grid = cells.select(*group).distinct().select(
-        *group, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i")
+    # one row per group with at most ``points`` entries, laid out over the grid
+    held = cells.groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", F.struct("_pos", "_neg")))).alias("_m")
+    )
+    grid = held.select(*group, "_m", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i"))
+    cell = F.try_element_at(F.col("_m"), F.col("_i"))
+    full = grid.select(
+        *group,
+        "_i",
+        F.coalesce(cell["_pos"], F.lit(0)).alias("_pos"),
+        F.coalesce(cell["_neg"], F.lit(0)).alias("_neg"),
     )
-    full = grid.join(cells, [*group, "_i"], "left").na.fill(0, ["_pos", "_neg"])
     from_here = Window.partitionBy(*group).orderBy("_i").rowsBetween(0, Window.unboundedFollowing)
     everyone = Window.partitionBy(*group)
     counted = full.select(

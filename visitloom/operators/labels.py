@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.config import FIRST_YEAR, MEDICATION_STATES
-from visitloom.functions.scalar import binary_severity_of, medication_dummies
+from visitloom.functions.scalar import binary_severity, binary_severity_of, medication_dummies
 
 
 def check_medication(df: DataFrame, med: str) -> DataFrame:
@@ -73,6 +73,33 @@ def window_label(labelled: DataFrame, months: int = FIRST_YEAR) -> DataFrame:
     return early.withColumn("max_cat", F.max("cat").over(per_patient("target")))
 
 
+def patient_labels(
+    visits: DataFrame, targets, months: int = FIRST_YEAR, whole_history: bool = True
+) -> DataFrame:
+    """(visit_id, patient_id, visit_month, target, cat, max_cat) of the first visits.
+
+    As ``future_label`` (``whole_history``) or ``window_label``, but from the
+    visits as they are: one window per patient labels all targets, and only the
+    kept visits are turned into rows per target.
+    """
+    early = F.col("visit_month") <= months
+    rows = visits if whole_history else visits.where(early)
+    w = per_patient()
+    wide = rows.select(
+        "visit_id",
+        "patient_id",
+        "visit_month",
+        *[binary_severity(t, t).alias(f"_c_{t}") for t in targets],
+    ).select("*", *[F.max(f"_c_{t}").over(w).alias(f"_m_{t}") for t in targets])
+    per_target = F.array(
+        *[
+            F.struct(F.lit(t).alias("target"), F.col(f"_c_{t}").alias("cat"), F.col(f"_m_{t}").alias("max_cat"))
+            for t in targets
+        ]
+    )
+    return wide.where(early).select("visit_id", "patient_id", "visit_month", F.inline(per_target))
+
+
 def attach_month_zero(visits: DataFrame, columns: list[str]) -> DataFrame:
     """Each visit with its patient's month-0 values as ``{c}_0_month``."""
     w = per_patient()

@@ -382,7 +382,7 @@ def _(spark, sf):
        FROM fut JOIN t USING (visit_id) WHERE visit_month <= 12 GROUP BY target, max_cat""",
 )
 def _(spark, sf):
-    fut = labels.future_label(_labelled(spark, sf))
+    fut = labels.patient_labels(clinic.visits(spark, sf), SCORED_TARGETS)
     totals = shape.visit_totals(clinic.features(spark, sf))
     return fut.join(totals, "visit_id").groupBy("target", "max_cat").agg(
         F.count(F.lit(1)).alias("n"),

@@ -6,7 +6,7 @@ from visitloom.config import SCORED_TARGETS
 from visitloom.functions import scalar as fn
 from visitloom.functions.scalar import rounded
 from visitloom.operators import cohort, folds, labels, longitudinal, ranking, screen
-from visitloom.plans.aggregates import _FT, _LAB, _labelled
+from visitloom.plans.aggregates import _FT, _LAB
 from visitloom.plans.frames import scored, scores, stored_features
 from visitloom.plans.registry import query
 from visitloom.sources import clinic
@@ -397,7 +397,8 @@ def _(spark, sf):
        SELECT visit_id, target, cat, max_cat FROM w WHERE visit_month <= 12""",
 )
 def _(spark, sf):
-    return labels.future_label(_labelled(spark, sf)).select("visit_id", "target", "cat", "max_cat")
+    out = labels.patient_labels(clinic.visits(spark, sf), SCORED_TARGETS)
+    return out.select("visit_id", "target", "cat", "max_cat")
 
 
 @query(
@@ -408,7 +409,8 @@ def _(spark, sf):
        FROM lab WHERE visit_month <= 12""",
 )
 def _(spark, sf):
-    return labels.window_label(_labelled(spark, sf)).select("visit_id", "target", "cat", "max_cat")
+    out = labels.patient_labels(clinic.visits(spark, sf), SCORED_TARGETS, whole_history=False)
+    return out.select("visit_id", "target", "cat", "max_cat")
 
 
 @query(
