@@ -10,7 +10,6 @@ from visitloom.plans.aggregates import _FT, _LAB
 from visitloom.plans.frames import scored, scores, stored_features
 from visitloom.plans.registry import query
 from visitloom.sources import clinic
-from visitloom.sources.files import table
 
 V, S = ("visits",), ("scores",)
 
