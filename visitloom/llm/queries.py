@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from visitloom.llm import content_sort
+from visitloom.llm import content_sort, mixing, repetition, simhash
 from visitloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,69 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return content_sort.content_groups(docs, keep="max", carry=["doc_id"])
+
+
+@query(
+    "op8_systematic_mix",
+    r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents),
+per AS (
+  SELECT source, cast(sum(size) AS bigint) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+           WHEN 0 THEN 5.0::double WHEN 1 THEN 2.0::double ELSE 1.0::double END AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, source_size * 2.0::double AS cap,
+         (sum(source_size) OVER () * 1.5::double
+          - coalesce(sum(source_size * 2.0::double) OVER (
+              ORDER BY source_size * 2.0::double / weight, source NULLS LAST
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (
+              ORDER BY source_size * 2.0::double / weight, source NULLS LAST
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN cap <= weight * level THEN cap
+              ELSE weight * (SELECT max(level) FROM levels WHERE cap > weight * level) END AS target
+  FROM levels),
+steps AS (
+  SELECT doc_id, s.source, size, source_size, target,
+         CASE WHEN source_size > 0
+              THEN cast(floor(target / source_size * 1000000000.0::double) AS bigint) ELSE 0 END AS units,
+         cast(concat('0x', substr(md5('mix:' || coalesce(s.source, '')), 1, 7)) AS bigint)
+           * 1000000000 // 268435456 AS off
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+sums AS (
+  SELECT *, off + sum(units) OVER (PARTITION BY source ORDER BY size, doc_id
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM steps)
+SELECT doc_id, size, source_size, target,
+       cast((upto // 1000000000 - (upto - units) // 1000000000) * size AS bigint) AS taken
+FROM sums
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    done = mixing.mix(docs, mixing.n_words(F.col("text")), carry=["doc_id"])
+    return done.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+@query("op7_pigeonring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, shingle=3, distance=2, carry=["doc_id"])
+
+
+@query("op1_suffix_repeats")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.judged(docs, carry=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "covered_words", "longest_repeat",
+    )
