@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import content_sort, mixing, repetition, simhash
+from visitloom.llm import content_sort, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates
 from visitloom.llm.common import table
+from visitloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# A user passes a secret of their own; the query only has to be repeatable.
+SURROGATE_KEY = "a key for the registered query"
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -105,3 +110,118 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "covered_words", "longest_repeat",
     )
+
+
+@query("op3_best_fit_pack")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, path, spaced=False, end_id=1, capacity=4096, carry=["doc_id"])
+
+
+@query("op10_simple8b")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = fresh_path(spark, "ids")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    simple8b.write(docs, folder, path, spaced=True, end_id=0)
+    return simple8b.documents(spark, folder)
+
+
+# The rules that the query applies, as given.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+_ADDRESS = r"""CASE WHEN contains({u}, '://') THEN
+    regexp_replace(regexp_replace(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', ''), '\.$', '')
+    || regexp_replace(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')
+    || CASE WHEN len(list_filter(string_split(regexp_extract({u}, '(?s)^[^#]*?\?([^#]*)', 1), '&'),
+                                 lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)'))) > 0
+       THEN '?' || array_to_string(list_filter(string_split(regexp_extract({u}, '(?s)^[^#]*?\?([^#]*)', 1), '&'),
+                                 lambda p: NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)')), '&') ELSE '' END END"""
+
+
+@query(
+    "op2_redirect_rules",
+    r"""
+WITH RECURSIVE targets AS (
+  SELECT page_id, url, CASE WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') THEN 'http://' || regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) || t ELSE t END AS target
+  FROM (SELECT page_id, url, replace(regexp_extract(unnest(regexp_extract_all(
+          html, '(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>')),
+          '(?is)\b(?:href|url)\s*=\s*["'']?([^"''>\s]+)', 1), '&amp;', '&') AS t FROM pages)),
+urls AS (
+  SELECT page_id, url FROM pages
+  UNION ALL SELECT NULL, target FROM targets WHERE contains(target, '://')),
+parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         ADDRESS_OF_URL AS address
+  FROM urls),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts),
+edges AS (
+  SELECT ADDRESS_OF_URL AS a, ADDRESS_OF_TARGET AS b FROM targets WHERE contains(target, '://')
+  UNION SELECT ADDRESS_OF_TARGET, ADDRESS_OF_URL FROM targets WHERE contains(target, '://')),
+blocked AS (
+  SELECT address FROM ruled WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/') AND address IS NOT NULL
+  UNION
+  SELECT e.b FROM blocked k JOIN edges e ON e.a = k.address WHERE e.b IS NOT NULL)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN address IN (SELECT address FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled WHERE page_id IS NOT NULL
+""".replace("ADDRESS_OF_URL", _ADDRESS.replace("{u}", "url")).replace(
+        "ADDRESS_OF_TARGET", _ADDRESS.replace("{u}", "target")
+    ),
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return redirects.judged(pages, URL_RULES, carry=["page_id"]).drop("by")
+
+
+@query("op5_randomness_tests")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = randomness.secrets(docs, carry=["doc_id"])
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("found", lambda s: s["kind"] < randomness.KINDS.index("random"))
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(randomness.KINDS)],
+        F.sha2(randomness.listed(base), 256).alias("base_sha256"),
+        randomness.listed(F.col("found")).alias("spans"),
+    )
+
+
+@query("op6_family_then_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.learnable()).select("lang", "text"))
+    found = langid.identify(docs, model, carry=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = surrogates.replaced(docs, SURROGATE_KEY, carry=["doc_id"])
+    shown = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["surrogate"]))
+    return done.select(
+        "doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(shown, ",").alias("surrogates")
+    )

@@ -27,7 +27,7 @@ from visitloom.llm.common import packed, unpacked
 
 # Words of a window that counts as repeated in the base figures.
 WINDOW = 3
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -200,7 +200,7 @@ def figures_udf(least: int):
 def repetition(
     docs: DataFrame,
     text_col: str = "text",
-    least_repeat: int = 10,
+    least_repeat: int = 16,
     max_covered: float = 0.3,
     max_repeat: int = 100,
     carry: list[str] | None = None,
