@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from visitloom.llm.common import packed, shuffle_parts, unpacked
 from visitloom.llm.repetition import blocks
-from visitloom.llm.tokens import encoder
+from visitloom.llm.tokens import BLOCK_BYTES, encoder
 from visitloom.session import materialize
 
 # Slots that one plan row may spell out inside one task.
@@ -36,7 +36,7 @@ def pieces_udf(path: str, spaced: bool, end_id: int, capacity: int, with_ids: bo
     @F.arrow_udf(_PIECES_DDL)
     def pieces(texts: pa.Array) -> pa.Array:
         coder, parts = encoder(path, spaced), []
-        for block in blocks(texts):
+        for block in blocks(texts, BLOCK_BYTES):
             ids, offsets = coder.encode(block, end_id)
             size = np.diff(offsets)
             n = -(-size // capacity)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from visitloom.llm.common import shuffle_parts
 from visitloom.llm.repetition import blocks
-from visitloom.llm.tokens import encoder
+from visitloom.llm.tokens import BLOCK_BYTES, encoder
 
 MAGIC = b"S8B1"
 BLOCK_IDS = 256
@@ -41,25 +41,40 @@ _COUNTS = np.array([c for c, _ in SELECTORS] + [0])
 _U8 = np.dtype("<u8")
 
 
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    high = (ids >> np.uint64(32)).astype(np.float64)
+    low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.int8)
+
+
 def encode(ids: np.ndarray, lengths: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """Payload of the ids of documents with these lengths."""
     ids = ids.astype(np.uint64)
-    n = len(ids)
-    at = np.arange(n)
-    block_end = np.minimum((at // block_ids + 1) * block_ids, n)
-    choice = np.zeros(n, np.int64)  # escape, unless something fits
+    n, widest = len(ids), max(c for c, _ in SELECTORS)
+    n_blocks = -(-n // block_ids)
+    # bits of each id, a row for each block; beyond a block's end nothing fits
+    bits = np.full((n_blocks, block_ids + widest), 127, np.int8)
+    own = np.full(n_blocks * block_ids, 127, np.int8)
+    own[:n] = _bit_lengths(ids)
+    bits[:, :block_ids] = own.reshape(n_blocks, block_ids)
+    most = bits[:, :block_ids].copy()  # bits of the widest of the next ``count`` ids
+    choice = np.zeros(most.shape, np.int8)  # escape, unless something fits
+    count = 1
     for s in range(len(SELECTORS) - 1, 0, -1):  # the last that fits packs the most
-        count, bits = SELECTORS[s]
-        wide = np.where(ids >> np.uint64(bits), at, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1] if n else wide
-        choice[(next_wide - at >= count) & (at + count <= block_end)] = s
+        while count < SELECTORS[s][0]:
+            np.maximum(most, bits[:, count : count + block_ids], out=most)
+            count += 1
+        choice[most <= SELECTORS[s][1]] = s
+    choice = choice.ravel()
     step = _COUNTS[choice]
+    block_end = np.minimum(np.arange(1, n_blocks + 1) * block_ids, n)
     starts = []
     here = np.arange(0, n, block_ids)  # all blocks go forward side by side
     while len(here):
         starts.append(here)
         after = here + step[here]
-        here = after[after < block_end[here]]
+        more = after < block_end
+        here, block_end = after[more], block_end[more]
     first = np.sort(np.concatenate(starts)) if starts else np.empty(0, np.int64)
     chosen = choice[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -124,7 +139,7 @@ def _rows(path: str, spaced: bool, end_id: int):
         coder, file, row, first = encoder(path, spaced), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK_BYTES):
                 ids, offsets = coder.encode(block, end_id)
                 own = batch.column(0).slice(at, len(block))
                 at += len(block)

@@ -17,16 +17,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Cached units at most; when passed, the cache starts anew.
-CACHED_UNITS = 500_000
-CACHED_IDS = 4_000_000
+# Cached units at most; when passed, only those that were met again stay.
+CACHED_UNITS = 900_000
+# Bytes of text that are cut into units at once.
+BLOCK_BYTES = 4_000_000
 # Code points the libraries may take for white space, and then a space: no cut there.
 _SPACES = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _IRREGULAR = f"(?:^|[{_SPACES}]) "
 _CUT = re.compile(r"(?<=\S)(?= )")
 # Before merges, a lower-casing word tokenizer cuts a word into these.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_JOINED = 400
+# Units that one call of the library takes.
+_JOINED = 100
 
 
 class Encoder:
@@ -46,51 +48,81 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.offsets = array("I"), array("q", [0])
-
-    def _add(self, unit: str, ids) -> None:
-        self.index[unit] = len(self.offsets) - 1
-        self.flat.extend(ids)
-        self.offsets.append(len(self.flat))
-
-    def _add_joined(self, units: list[str], n_pieces: list[int]) -> bool:
+        # units that follow a space (or, without spaces, all) are kept without it
+        self.index: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        self.flat, self.offsets, self.met = array("I"), array("q", [0]), bytearray()
+
+    def _evict(self) -> None:
+        """Drops what was met in one block only, and all if that leaves too much."""
+        index, flat = self.index, np.frombuffer(self.flat, np.uint32)
+        bounds, met = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.met, np.uint8)
+        often = met > 1
+        fits = often.sum() <= CACHED_UNITS // 2
+        self._reset()
+        if not fits:
+            return
+        size = np.where(often, np.diff(bounds), 0)
+        place = (np.cumsum(often) - 1).tolist()
+        self.flat.frombytes(flat[np.repeat(often, np.diff(bounds))].tobytes())
+        self.offsets.frombytes(np.cumsum(size[often]).astype(np.int64).tobytes())
+        self.met = bytearray(int(often.sum()))
+        for led, units in index.items():
+            self.index[led] = {u: place[i] for u, i in units.items() if often[i]}
+
+    def _add(self, led: bool, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """``ids`` of all ``units``, which end at ``ends``."""
+        first, base = len(self.offsets) - 1, len(self.flat)
+        self.index[led].update(zip(units, range(first, first + len(units))))
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.offsets.frombytes((ends + base).astype(np.int64).tobytes())
+        self.met.extend(bytes(len(units)))
+
+    def _add_joined(self, units: list[str], n_pieces: np.ndarray) -> bool:
         """Ids of all units from one call; False if they can't be told apart."""
-        text = "".join(units) if self.spaced else " ".join(units)
+        text = (" " if self.spaced else "") + " ".join(units)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         marked = np.flatnonzero(self.marks[ids])
-        if len(marked) != sum(n_pieces):
-            return False
         last = np.cumsum(n_pieces)
-        cuts = np.r_[marked[last - n_pieces], len(ids)] if self.spaced else np.r_[0, marked[last - 1] + 1]
-        if cuts[0] != 0 or cuts[-1] != len(ids):
+        if len(marked) != last[-1]:
+            return False
+        # a mark begins a unit that has its space, or ends a piece of a word
+        ends = np.r_[marked[1:], len(ids)] if self.spaced else marked[last - 1] + 1
+        if ends[-1] != len(ids) or (self.spaced and marked[0] != 0):
             return False
-        flat = ids.tolist()
-        for unit, a, b in zip(units, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self._add(unit, flat[a:b])
+        self._add(True, units, ids, ends)
         return True
 
-    def _learn(self, units: list[str]) -> None:
-        simple, single = [], []
+    def _learn(self, led: bool, units: list[str]) -> None:
+        simple, pieces, single = [], [], []
         for unit in units:
-            word = unit[1:] if self.spaced else unit
-            plain = word.split() == [word] and "<|" not in word and (not self.spaced or unit[0] == " ")
-            (simple if plain and len(word) <= 64 else single).append(unit)
+            if not led or len(unit) > 64:
+                single.append(unit)
+            elif unit.isalpha():
+                simple.append(unit)
+                pieces.append(1)
+            elif unit.split() == [unit] and "<|" not in unit:
+                simple.append(unit)
+                pieces.append(1 if self.spaced else len(self.pieces.findall(unit)))
+            else:
+                single.append(unit)
         for i in range(0, len(simple), _JOINED):
             part = simple[i : i + _JOINED]
-            n = [1] * len(part) if self.spaced else [len(self.pieces.findall(u)) for u in part]
-            if not self._add_joined(part, np.array(n)):
+            if not self._add_joined(part, np.array(pieces[i : i + _JOINED])):
                 single += part
+        space = " " if led and self.spaced else ""
         for i in range(0, len(single), 64):
             part = single[i : i + 64]
-            for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._add(unit, got.ids)
-
-    def _places(self, units: list[str]) -> np.ndarray:
-        new = [u for u in units if u not in self.index]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            got = [g.ids for g in self.tokenizer.encode_batch_fast([space + u for u in part], add_special_tokens=False)]
+            flat = np.array([x for ids in got for x in ids], np.uint32)
+            self._add(led, part, flat, np.cumsum([len(ids) for ids in got]))
+
+    def _places(self, units: list[str], led: bool) -> np.ndarray:
+        index = self.index[led]
+        found = list(map(index.get, units))
+        if None in found:
+            self._learn(led, list(dict.fromkeys(u for u, at in zip(units, found) if at is None)))
+            found = list(map(index.get, units))
+        return np.array(found, np.int64)
 
     def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the units of all texts in the cache, and where each text's begin."""
@@ -100,7 +132,7 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         code = np.asarray(coded.indices)
         if not self.spaced:
-            return self._places(coded.dictionary.to_pylist())[code], offsets
+            return self._places(coded.dictionary.to_pylist(), True)[code], offsets
         odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR).cast(pa.uint8())) > 0
         first = np.zeros(len(code), bool)
         first[offsets[:-1]] = True
@@ -108,23 +140,26 @@ class Encoder:
         used = np.flatnonzero(np.bincount(code[usual], minlength=len(coded.dictionary)))
         place = np.zeros(len(coded.dictionary), np.int64)
         words = coded.dictionary.take(pa.array(used)).to_pylist()
-        place[used] = self._places([" " + w for w in words])
+        place[used] = self._places(words, True)
         units = place[code]
         heads = coded.dictionary.take(pa.array(code[offsets[:-1]])).to_pylist()
-        units[offsets[:-1]] = self._places(heads)
+        units[offsets[:-1]] = self._places(heads, False)
         if not odd.any():
             return units, offsets
         # texts with a space after other white space are cut one by one
         parts = [units[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
         for i in np.flatnonzero(odd):
-            parts[i] = self._places(_CUT.split(texts[int(i)].as_py()))
+            parts[i] = self._places(_CUT.split(texts[int(i)].as_py()), False)
         return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and where each text's begin. Null is empty."""
-        if len(self.index) > CACHED_UNITS or len(self.flat) > CACHED_IDS:
-            self._reset()
+        if len(self.met) > CACHED_UNITS:
+            self._evict()
         units, offsets = self._units(pc.fill_null(texts, ""))
+        met = np.frombuffer(self.met, np.uint8)
+        seen = np.flatnonzero(np.bincount(units, minlength=1))
+        met[seen] = np.minimum(met[seen], 9) + 1
         bounds, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32)
         start, size = bounds[units], bounds[units + 1] - bounds[units]
         done = np.r_[0, np.cumsum(size)]
