@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import visitloom
+
 # A word is a run without space, tab, line feed, vertical tab, form feed or
 # carriage return; in Python ``bytes.split()`` cuts at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +43,26 @@ def unpacked(
         *[F.col(row)[c].alias(c) for c in columns if c.lower() not in taken],
         *[value.alias(name) for name, value in made.items()],
     )
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application.
+
+    Spark's file server hands the driver's archive to the executors, which need
+    neither an installation nor a shared folder for it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(visitloom.__file__))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="visitloom-")), "visitloom-package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _SHIPPED[context.applicationId] = archive

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import packed, shuffle_parts, unpacked
+from visitloom.llm.common import packed, shuffle_parts, ship, unpacked
 from visitloom.llm.repetition import blocks
 from visitloom.llm.tokens import BLOCK_BYTES, encoder
 from visitloom.session import materialize
@@ -156,6 +156,7 @@ def pack(
     added columns replace those of their name.
     """
     spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    ship(spark)
     carry = docs.columns if carry is None else carry
     cut = docs.select(
         packed(docs.select(*[f"`{c}`" for c in carry])).alias("row"),

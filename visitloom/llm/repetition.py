@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import packed, unpacked
+from visitloom.llm.common import packed, ship, unpacked
 
 # Words of a window that counts as repeated in the base figures.
 WINDOW = 3
@@ -221,6 +221,7 @@ def repetition(
     the input columns to return, all if not given; added columns replace those
     of their name. An empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rows = docs.select(
         packed(docs.select(*[f"`{c}`" for c in carry])).alias("row"),

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import packed, shuffle_parts, unpacked
+from visitloom.llm.common import packed, shuffle_parts, ship, unpacked
 from visitloom.llm.components import connected
 from visitloom.session import materialize
 
@@ -203,6 +203,7 @@ def links(fps: DataFrame, distance: int, segments: int = SEGMENTS, pairwise: int
     """(a, b) among distinct fingerprints ``fp``: enough links to connect all within ``distance``."""
     if not 0 <= distance <= 4:
         raise ValueError("distance must be from 0 to 4")
+    ship(fps.sparkSession)
     parts = shuffle_parts(fps.sparkSession)
     chains, equal = ring(distance, segments)
     keys = fps.select(
@@ -262,6 +263,7 @@ def near_duplicates(
     ``carry`` names the input columns to return, all if not given; added columns
     replace those of their name.
     """
+    ship(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rows = materialize(
         docs.select(
@@ -296,6 +298,7 @@ def deduplicated(
 
     Where ids repeat the rest of the row decides, then its place in the input.
     """
+    ship(docs.sparkSession)
     # the row number is written with the row, so that both readers see the same
     stored = materialize(
         docs.select(

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import shuffle_parts
+from visitloom.llm.common import shuffle_parts, ship
 from visitloom.llm.repetition import blocks
 from visitloom.llm.tokens import BLOCK_BYTES, encoder
 
@@ -167,6 +167,7 @@ def write(
     rows with the same id lie in order of their texts and stay separate. An empty
     table makes a folder without rows. Other columns are not written.
     """
+    ship(docs.sparkSession)
     ids = F.col(id_col).cast("long").alias("doc_id")
     (
         docs.select(ids, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
@@ -202,6 +203,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def documents(spark, folder: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of each document, from the files."""
+    ship(spark)
     stored = spark.read.schema(_FILE_ROWS).parquet(folder)
     sizes = stored.groupBy("file").agg(F.sum("n_ids").alias("n"))
     # one row for each file: as many as the writer had partitions
