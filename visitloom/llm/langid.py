@@ -18,7 +18,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import packed, unpacked
+from visitloom.llm.common import packed, ship, unpacked
 from visitloom.session import materialize
 
 # Families of languages by ISO 639-1 code. A language that isn't
@@ -44,6 +44,8 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 # Labelled texts of each language that are learned from, at most.
 SAMPLE_PER_LANGUAGE = 1500
+# Steps of each fit; a step is a small job over the sample.
+MAX_ITER = 10
 BUCKET_BITS = 15
 _MULTIPLIER = np.uint32(2654435761)
 _PART = 1 << 20  # bytes of a text that are hashed at once
@@ -134,9 +136,10 @@ class Model:
 
 def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model from rows (``lang``, ``text``); rows without a language or a letter teach nothing."""
+    ship(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample = _sample(usable, most).select("lang", _vector("text").alias("features"))
-    sample = materialize(sample.repartition(8), "language-sample")
+    sample = materialize(sample.repartition(4), "language-sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     members: dict[str, list[str]] = {}
     for lang in languages:
@@ -146,7 +149,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
     family_weights, family_bias = np.zeros((len(families), width)), np.zeros(len(families))
     if len(families) > 1:
         labels = {lang: float(i) for i, (_, own) in enumerate(families) for lang in own}
-        model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=30).fit(
+        model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=MAX_ITER).fit(
             sample.select("features", _label(labels))
         )
         family_weights, family_bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
@@ -154,7 +157,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
     pair_weights, pair_bias = np.zeros((len(pairs), width)), np.zeros(len(pairs))
     for i, (a, b) in enumerate(pairs):
         both = sample.where(F.col("lang").isin(a, b)).select("features", _label({a: 0.0, b: 1.0}))
-        svm = LinearSVC(regParam=1e-3, maxIter=30).fit(both)
+        svm = LinearSVC(regParam=1e-3, maxIter=MAX_ITER).fit(both)
         pair_weights[i], pair_bias[i] = svm.coefficients.toArray(), svm.intercept
     return Model(families, family_weights, family_bias, pairs, pair_weights, pair_bias)
 
@@ -188,6 +191,7 @@ def identify(
     An empty table gives an empty table. ``carry`` names the input columns to
     return, all if not given; added columns replace those of their name.
     """
+    ship(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rows = docs.select(
         packed(docs.select(*[f"`{c}`" for c in carry])).alias("row"),
