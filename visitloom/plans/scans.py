@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from visitloom.config import FIRST_YEAR, SCORED_TARGETS, TARGETS
 from visitloom.functions.scalar import rounded, shuffle_bucket, shuffle_key
 from visitloom.operators import ranking, shape
-from visitloom.plans.frames import scored
+from visitloom.plans.frames import scored, stored_features
 from visitloom.plans.registry import query
 from visitloom.session import fresh_path
 from visitloom.sources import clinic, contract, files, records
@@ -246,7 +246,7 @@ def _(spark, sf):
       FROM s CROSS JOIN c LEFT JOIN feats f ON f.visit_id = s.visit_id AND f.feature = c.feature""",
 )
 def _(spark, sf):
-    feats = clinic.features(spark, sf)
+    feats = stored_features(spark, sf)
     # the protein names plus five names that no sample carries
     names = table(spark, sf, "part").select(F.col("p_brand").alias("feature"))
     sampled = names.join(feats.select("feature").distinct(), "feature", "left_semi")
