@@ -72,3 +72,13 @@ def test_run(spark, sf, stages):
     want = stages["best_fit_pack"][1]
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, want[key].values))
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf, odd, none):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            done = materialize(stage(spark, docs, sf), name)
+            if name == "best_fit_pack":
+                assert (done.count() == 0) == docs.isEmpty()
+            else:
+                assert done.columns == docs.columns

@@ -173,6 +173,6 @@ class Encoder:
         return out, np.r_[0, ends + 1]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a task keeps one cache
 def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
