@@ -45,6 +45,38 @@ def unpacked(
     )
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """Digest of a whole row. With the id it names a row; rows equal in both are one row repeated."""
+    return F.xxhash64(packed(docs))
+
+
+def _whole(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), row_digest(docs).alias("tie"))
+
+
+def _same_row(frame: DataFrame, keys: DataFrame):
+    return frame["id"].eqNullSafe(keys["id"]) & (frame["tie"] == keys["tie"])
+
+
+def rows_without(docs: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
+    """``row`` of each row whose (``id``, ``tie``) isn't in ``keys``."""
+    whole = _whole(docs, id_col)
+    return whole.join(keys, _same_row(whole, keys), "left_anti").select("row")
+
+
+def rows_of(docs: DataFrame, id_col: str, keys: DataFrame, value: str) -> DataFrame:
+    """``row`` and the ``value`` of its key, for each row whose (``id``, ``tie``) is in ``keys``."""
+    whole = _whole(docs, id_col)
+    return whole.join(keys, _same_row(whole, keys)).select("row", value)
+
+
+def one_row_of(docs: DataFrame, id_col: str, keys: DataFrame, value: str) -> DataFrame:
+    """As ``rows_of``, but once for each key, for keys of repeated rows."""
+    whole = _whole(docs, id_col)
+    found = whole.join(keys, _same_row(whole, keys)).select(whole["id"], whole["tie"], "row", value)
+    return found.groupBy("id", "tie").agg(F.first("row").alias("row"), F.first(value).alias(value)).select("row", value)
+
+
 _SHIPPED: dict[str, str] = {}
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import WORD, packed, shuffle_parts, unpacked
+from visitloom.llm.common import WORD, one_row_of, packed, row_digest, rows_of, shuffle_parts, unpacked
 from visitloom.session import materialize
 
 # One copy in the fixed-point unit of the running sums.
@@ -151,26 +151,29 @@ def mix(
 
 
 def mixed(docs: DataFrame, size: Column, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (see ``mix``)."""
+    """The rows of ``docs``, each as often as the mix takes it (see ``mix``).
+
+    ``docs`` is read again for the rows that are taken: pass a stored table.
+    """
     id_col, source_col = options.pop("id_col", "doc_id"), options.pop("source_col", "source")
-    # the row number is written with the row, so that both readers see the same
-    stored = materialize(
-        docs.select(
-            packed(docs).alias("row"),
-            F.monotonically_increasing_id().alias("at"),
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            size.alias("size"),
-        ),
-        "mixing",
+    narrow = docs.select(
+        F.col(id_col).alias("id"),
+        row_digest(docs).alias("tie"),
+        F.col(source_col).alias("source"),
+        size.alias("size"),
+    )
+    copies = (
+        mix(narrow, F.col("size"), "id", "source", carry=["id", "tie"], **options)
+        .groupBy("id", "tie")
+        .agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+        .where("copies > 0")
     )
-    copies = mix(
-        stored.select("at", "id", "source", "size"),
-        F.col("size"), "id", "source", carry=["at"], **options,
-    ).where("copies > 0")
+    copies = materialize(copies, "copies")
+    single = rows_of(docs, id_col, copies.where("n = 1"), "copies")
+    # a row that is there more than once gives the copies of all
+    repeated = one_row_of(docs, id_col, copies.where("n > 1"), "copies")
     return (
-        stored.select("row", "at")
-        .join(copies.select("at", "copies"), "at")
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        single.union(repeated)
+        .select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         .select(*[F.col("row")[c].alias(c) for c in docs.columns])
     )

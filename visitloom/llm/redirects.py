@@ -130,8 +130,9 @@ def judged(
     edges = rows.where("address IS NOT NULL").select("address", F.explode("targets").alias("target"))
     if links is not None:
         edges = edges.union(links.select(address(F.col("source")), "target"))
-        sources = links.select(F.col("source").alias("target"))
-    ends = edges.select("target") if links is None else edges.select("target").union(sources)
+    ends = edges.select("target")
+    if links is not None:
+        ends = ends.union(links.select("source"))
     end_rule = matching_rule(host(F.col("target")), path(F.col("target")), rules)
     tree = connected(edges.select(F.col("address").alias("a"), address(F.col("target")).alias("b")))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import packed, shuffle_parts, ship, unpacked
+from visitloom.llm.common import one_row_of, packed, row_digest, rows_without, ship, shuffle_parts, unpacked
 from visitloom.llm.components import connected
 from visitloom.session import materialize
 
@@ -296,27 +296,28 @@ def deduplicated(
 ) -> DataFrame:
     """One row of each component, that with the smallest id, with the columns of ``docs``.
 
-    Where ids repeat the rest of the row decides, then its place in the input.
+    Where ids repeat a digest of the row decides, and of a repeated row one is
+    kept. ``docs`` is read again for the rows that stay: pass a stored table.
     """
     ship(docs.sparkSession)
-    # the row number is written with the row, so that both readers see the same
-    stored = materialize(
+    rows = materialize(
         docs.select(
-            packed(docs).alias("row"),
-            F.monotonically_increasing_id().alias("at"),
             F.col(id_col).alias("id"),
+            row_digest(docs).alias("tie"),
             fingerprint_udf(shingle, seed)(F.col(text_col)).alias("fp"),
         ),
         "hashed",
     )
-    order = F.struct(F.col("id").isNull().alias("last"), "id", F.xxhash64("row").alias("tie"), "at")
-    rows = stored.select("fp", "at", order.alias("order"))
-    classes = _classes(rows.select("fp", "order"), distance, segments, pairwise)
-    dropped = (
-        rows.join(classes.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"))
-        .where("at != first.at")
-        .select("at")
-    )
-    return stored.join(dropped, "at", "left_anti").select(
-        *[F.col("row")[c].alias(c) for c in docs.columns]
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "tie").alias("order")
+    classes = _classes(rows.select("fp", order), distance, segments, pairwise).withColumnRenamed("fp", "of")
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
+    decided = (
+        rows.join(classes, F.col("fp") == F.col("of"))
+        .groupBy("id", "tie")
+        .agg(F.max(first).alias("kept"), F.count(F.lit(1)).alias("n"))
     )
+    # few: what goes, and what is there more than once
+    other = materialize(decided.where("NOT kept OR n > 1"), "decided")
+    stays = rows_without(docs, id_col, other.select("id", "tie"))
+    once = one_row_of(docs, id_col, other.where("kept"), "n").select("row")
+    return stays.union(once).select(*[F.col("row")[c].alias(c) for c in docs.columns])
