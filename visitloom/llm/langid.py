@@ -82,14 +82,19 @@ def _vector(text):
 
 
 def _sample(labelled: DataFrame, most: int) -> DataFrame:
-    """``most`` rows of each language, the first by a hash; hashes cut a large language first."""
-    order = F.xxhash64(F.lit("sample"), "text", "lang")
-    sizes = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(1.3 * most) / F.col("count"))
+    """``most`` rows of each language, the first by a hash; hashes cut a large language first.
+
+    The counts have a row for each language; only rows that pass are shuffled.
+    """
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect() if r["lang"] is not None}
+    if not sizes:
+        return labelled.select("lang", "text").limit(0)
+    order, bound = F.xxhash64(F.lit("sample"), "text", "lang"), 1 << 30
+    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 1.3 * most / n) * bound))])
     near = (
-        labelled.join(sizes, "lang")
+        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
         .withColumn("order", order)
-        .where(F.pmod("order", F.lit(1 << 30)) < share * float(1 << 30))
+        .where(F.pmod("order", F.lit(bound)) < F.element_at(limits, F.col("lang")))
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     return near.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
@@ -137,9 +142,8 @@ class Model:
 def fit(labelled: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model from rows (``lang``, ``text``); rows without a language or a letter teach nothing."""
     ship(labelled.sparkSession)
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = _sample(usable, most).select("lang", _vector("text").alias("features"))
-    sample = materialize(sample.repartition(4), "language-sample")
+    sample = _sample(labelled, most).repartition(4).select("lang", _vector("text").alias("features"))
+    sample = materialize(sample, "language-sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     members: dict[str, list[str]] = {}
     for lang in languages:
