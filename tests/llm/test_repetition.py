@@ -84,6 +84,25 @@ def test_rules_take_repetitive_texts_and_leave_clean_ones(spark):
     assert [r["doc_id"] for r in repetition.accepted(df).collect()] == [0]
 
 
+def test_short_passages_between_base_and_limit(spark):
+    def mixed(length, times, n):
+        """``n`` words, of which one passage of ``length`` words comes ``times`` times, spread."""
+        fresh, gap = iter(f"w{i}" for i in range(n)), (n - length * times) // times
+        return " ".join(" ".join([f"p{i}" for i in range(length)] + [next(fresh) for _ in range(gap)]) for _ in range(times))
+
+    cases = [(12, 15, 400), (5, 12, 200), (9, 4, 160), (5, 2, 200), (9, 2, 150), (16, 2, 400), (15, 4, 400), (4, 40, 400)]
+    df = spark.createDataFrame([(i, mixed(*c)) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repetition.judged(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in range(len(cases))] == [False, False, False, True, True, True, False, True]
+    for i, r in got.items():
+        shared = naive_shared(mixed(*cases[i]).split())
+        want = [len({a + k for a, n in enumerate(shared) if n >= least for k in range(n)}) for least in repetition.GRADES]
+        assert r["graded_words"] == want
+    loose = repetition.judged(df, grades={}).where("kept").count()
+    assert loose == len(cases)
+
+
 def test_odd_rows(odd, none):
     rows = repetition.judged(odd, carry=["doc_id", "text", "kept"]).collect()
     assert len(rows) == odd.count()
