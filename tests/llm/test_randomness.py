@@ -110,6 +110,48 @@ def test_thresholds_go_by_length(spark):
     assert got["hex", 10] == 0.05 and got["hex", 8] == 0.35
 
 
+def hex_keys(wanted, n=32):
+    """For each pair of bounds a key of ``n`` upper-case hex digits whose p is between them."""
+    rng, out = random.Random(5), []
+    for low, high in wanted:
+        while True:
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+            if p_value(key)[0] == "HEX" and low <= p_value(key)[1] < high:
+                out.append(key)
+                break
+    return out
+
+
+@pytest.mark.parametrize("copied", [(0.3, 0.32), (0.9, 0.95)])
+def test_copies_of_a_token_count_once(spark, copied):
+    keys = hex_keys([(i / 60, (i + 1) / 60) for i in range(3, 60)])
+    copy = hex_keys([copied], 33)[0]
+    words = [w * 4 for w in hex_keys([(0, 1)] * 40, 8) if p_value(w * 4)[0] == "HEX"]
+    rows = [(i, f"x {k} y") for i, k in enumerate(keys)] + [(1000, f"{copy} {copy} y")] * 1000
+    rows += [(2000 + i, f"x {w} y") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r["doc_id"] for r in randomness.secrets(df).collect() if r["found"]]
+    once = df.dropDuplicates(["doc_id"])
+    alone = {r["doc_id"] for r in randomness.secrets(once).collect() if r["found"]}
+    assert set(found) == alone and found.count(1000) == 1000
+    assert len([i for i in alone if i < 1000]) >= 50
+
+
+def test_a_lone_token_of_a_rare_class_is_found(spark):
+    lone = hex_keys([(0.2, 0.3)], 32)[0]
+    rows = [(1, f"x {lone} y"), (2, "x " + "AB01" * 16 + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in randomness.secrets(df).collect() if r["found"]] == [1]
+
+
+def test_small_classes_share_what_they_tell(spark):
+    rows = [("hex", n, p) for n in (20, 24, 32) for p in [0.2] * 8 + [0.9]]
+    rows += [("alnum", 20, 0.3)] * 3
+    df = spark.createDataFrame(rows, "encoding string, n int, p double")
+    got = randomness.thresholds(df, 0.1)
+    assert got == {("hex", 8): 0.25, ("hex", 9): 0.25, ("hex", 10): 0.25, ("alnum", 8): 0.05}
+
+
 def test_odd_rows(odd, none):
     got = randomness.secrets(odd)
     assert got.columns == odd.columns and got.count() == odd.count()

@@ -12,6 +12,9 @@ tokens have evenly spread p, so twice the number above one half estimates how ma
 are random in all; among those accepted at a threshold, what this doesn't explain
 is false. Each class takes the lowest threshold at which the false share stays
 within ``rate``. A length at which words pass by chance finds no such threshold.
+Each distinct token counts once, however often it is copied. Classes with too few
+of them to tell are pooled by encoding; where that is too few as well, the
+threshold is a fixed one.
 """
 
 from __future__ import annotations
@@ -49,6 +52,9 @@ ENCODINGS = (
     ("any", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
 BINS = 20
+# Distinct tokens from which on their p tell a threshold, and the threshold for fewer.
+LEAST_COUNTED = 20
+PRIOR = 0.05  # 0 to 5 of 100 joined words of the test documents reach it, by the way of joining
 _RUN = 256  # entries whose running sum is built by appending
 
 
@@ -138,7 +144,7 @@ def _tail(z: Column) -> Column:
 
 
 def tested(tokens: Column) -> Column:
-    """Array of ``start``, ``end``, ``encoding``, ``n`` and ``p`` for an array of located tokens."""
+    """Array of ``start``, ``end``, ``encoding``, ``token`` (digest), ``n`` and ``p`` for an array of located tokens."""
     names = F.lit([name for name, _ in ENCODINGS])
     sets = F.lit([alphabet for _, alphabet in ENCODINGS])
 
@@ -161,6 +167,7 @@ def tested(tokens: Column) -> Column:
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.element_at(names, c["which"]).alias("encoding"),
+            F.xxhash64(c["v"]).alias("token"),
             F.length(alphabet).cast("double").alias("k"),
             F.length(c["v"]).cast("double").alias("n"),
             F.transform(symbols, lambda s: (F.instr(alphabet, s) - 1).cast("double")).alias("x"),
@@ -174,7 +181,7 @@ def tested(tokens: Column) -> Column:
         after = F.concat(F.slice(x, 2, n - 1), F.slice(x, 1, 1))
         changes = F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: F.abs(high(a) - high(b)))
         return F.struct(
-            *[c[f].alias(f) for f in ("start", "end", "encoding", "k", "n", "squares")],
+            *[c[f].alias(f) for f in ("start", "end", "encoding", "token", "k", "n", "squares")],
             total(x).alias("s1"),
             total(F.transform(x, lambda a: a * a)).alias("s2"),
             total(F.zip_with(x, after, lambda a, b: a * b)).alias("s11"),
@@ -197,14 +204,14 @@ def tested(tokens: Column) -> Column:
         sigma = F.sqrt(n * (n - 3) / (n + 1)) / (n - 1)
         p_serial = F.coalesce(2 * _tail(F.abs(lag + 1 / (n - 1)) / sigma), F.lit(0.0))
         return F.struct(
-            *[c[f].alias(f) for f in ("start", "end", "encoding")],
+            *[c[f].alias(f) for f in ("start", "end", "encoding", "token")],
             n.cast("int").alias("n"),
             F.least(p_chi, p_runs, p_serial).alias("least"),
         )
 
     def combined(c):
         p = 1 - F.pow(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["least"])), F.lit(3))
-        return F.struct(*[c[f].alias(f) for f in ("start", "end", "encoding", "n")], p.alias("p"))
+        return F.struct(*[c[f].alias(f) for f in ("start", "end", "encoding", "token", "n")], p.alias("p"))
 
     for stage in (inferred, counted, summed, scored, combined):
         tokens = F.transform(tokens, stage)
@@ -218,7 +225,8 @@ def _length_class(n: Column) -> Column:
 def thresholds(candidates: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     """Lowest accepted p by encoding and length class; a class without one accepts nothing.
 
-    The counts it is read from have a row for each encoding, class and bin.
+    ``candidates`` has a row for each distinct token. The counts it is read from
+    have a row for each encoding, class and bin.
     """
     cells = candidates.groupBy(
         "encoding",
@@ -228,17 +236,30 @@ def thresholds(candidates: DataFrame, rate: float) -> dict[tuple[str, int], floa
     counts: dict[tuple[str, int], list[int]] = {}
     for r in cells.collect():
         counts.setdefault((r["encoding"], r["length"]), [0] * BINS)[r["bin"]] = r["count"]
+    few = {key: bins for key, bins in counts.items() if sum(bins) < LEAST_COUNTED}
+    pooled: dict[str, list[int]] = {}
+    for (encoding, _), bins in few.items():
+        pooled[encoding] = [x + y for x, y in zip(bins, pooled.get(encoding, [0] * BINS))]
     out = {}
     for key, bins in counts.items():
-        random = 2 * sum(bins[BINS // 2 :])
-        for b in range(1, BINS):
-            accepted = sum(bins[b:])
-            if accepted and accepted - random * (1 - b / BINS) <= rate * accepted:
-                out[key] = b / BINS
-                break
+        if key in few:
+            bins = pooled[key[0]]
+        limit = _limit(bins, rate) if sum(bins) >= LEAST_COUNTED else PRIOR
+        if limit is not None:
+            out[key] = limit
     return out
 
 
+def _limit(bins: list[int], rate: float) -> float | None:
+    """Lowest threshold at which at most ``rate`` of the accepted are false."""
+    random = 2 * sum(bins[BINS // 2 :])
+    for b in range(1, BINS):
+        accepted = sum(bins[b:])
+        if accepted and accepted - random * (1 - b / BINS) <= rate * accepted:
+            return b / BINS
+    return None
+
+
 def secrets(
     docs: DataFrame,
     text_col: str = "text",
@@ -249,7 +270,8 @@ def secrets(
 
     Places are code points, ``end`` exclusive. Within a kind matches don't
     overlap. A ``random`` token that overlaps a match of a pattern isn't listed
-    again. ``rate`` bounds the share of false discoveries among random tokens.
+    again. ``rate`` bounds the share of false discoveries among distinct random
+    tokens, wherever there are enough to tell.
 
     Defined cases: a null text counts as empty and has an empty array. Ids are
     not used, so null and repeated ids and rows stay as they are. An empty table
@@ -278,7 +300,8 @@ def secrets(
         tested(F.col("token")).alias("tokens"),
     )
     rows = materialize(rows, "secrets")
-    limits = thresholds(rows.select(F.explode("tokens").alias("t")).select("t.*"), rate)
+    tokens = rows.select(F.explode("tokens").alias("t")).select("t.encoding", "t.n", "t.token", "t.p")
+    limits = thresholds(tokens.distinct(), rate)
     if limits:
         keys = [F.lit(f"{e}:{length}") for e, length in limits]
         table = F.create_map(*[x for k, v in zip(keys, limits.values()) for x in (k, F.lit(v))])
