@@ -62,6 +62,18 @@ def test_the_sample_is_bounded(spark):
     assert got["de"] == 3 and got["en"] <= 100
 
 
+def test_copies_and_unusable_rows_take_no_place_in_the_sample(spark):
+    rows = [("en", f"word {i % 5}") for i in range(4000)] + [("fr", f"mot {i}") for i in range(200)]
+    rows += [("fr", t) for t in (None, "12 %", "mot 0") for _ in range(3000)] + [("de", f"Wort {i}") for i in range(30)]
+    rows += [("es", None)] * 9 + [(None, "x")] * 9
+    sample = langid._sample(spark.createDataFrame(rows, "lang string, text string").repartition(4), 50)
+    got = {}
+    for r in sample.collect():
+        got.setdefault(r["lang"], []).append(r["text"])
+    assert {lang: len(t) for lang, t in got.items()} == {"en": 5, "fr": 50, "de": 30}
+    assert all(len(set(t)) == len(t) for t in got.values())
+
+
 def test_parts_of_a_long_text_count_like_the_whole(monkeypatch):
     text = "Straße été " * 400
     whole = np.concatenate(list(langid._grams(text)))

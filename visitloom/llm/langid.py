@@ -82,22 +82,38 @@ def _vector(text):
 
 
 def _sample(labelled: DataFrame, most: int) -> DataFrame:
-    """``most`` rows of each language, the first by a hash; hashes cut a large language first.
+    """The first ``most`` distinct usable texts of each language by a hash, or all if there are fewer.
 
-    The counts have a row for each language; only rows that pass are shuffled.
+    A language of at most ``most`` usable rows is taken whole, with its copies;
+    of a larger one each text is taken once. Only hashes are counted and
+    compared, with a row for each language on the driver; the texts of those
+    chosen are fetched after that, and a task sends one copy of each.
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect() if r["lang"] is not None}
+    order = F.xxhash64(F.lit("sample"), "text", "lang").alias("order")
+    usable = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    hashes = labelled.where(usable).select("lang", order).groupBy("lang", "order").agg(F.count("*").alias("copies"))
+    hashes = materialize(hashes, "language-hashes")
+    sizes = hashes.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).collect()
     if not sizes:
         return labelled.select("lang", "text").limit(0)
-    order, bound = F.xxhash64(F.lit("sample"), "text", "lang"), 1 << 30
-    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 1.3 * most / n) * bound))])
-    near = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .withColumn("order", order)
-        .where(F.pmod("order", F.lit(bound)) < F.element_at(limits, F.col("lang")))
+    # so far above ``most`` that hashes evenly spread don't fall short of it
+    wanted, bound = most + 10 * most**0.5 + 100, 1 << 30
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, wanted / r["texts"]) * bound))])
+    whole = [r["lang"] for r in sizes if r["rows"] <= most]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = (
+        hashes.where(F.pmod("order", F.lit(bound)) < F.element_at(limits, F.col("lang")))
+        .withColumn("place", place)
+        .where(F.col("place") <= most)
+        .select("lang", "order", F.when(F.col("lang").isin(whole), F.col("copies")).otherwise(1).alias("copies"))
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    return near.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
+    texts = (
+        labelled.select("lang", "text", order)
+        .join(F.broadcast(chosen), ["lang", "order"])
+        .groupBy("lang", "order", "copies")
+        .agg(F.first("text").alias("text"))
+    )
+    return texts.select("lang", "text", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("lang", "text")
 
 
 class Model:
