@@ -76,6 +76,42 @@ def test_blocks_follow_links_in_both_directions_and_through_others(spark):
     assert strict["verdict"] == "block"
 
 
+REFERENCES = [
+    "page.html", "../b", "../../../b", "./", "..", "?p=2", "#top", "c/d?x=/../y", "/e/../f", "//g.org/h", "ftp://k.org/l",
+    "a/./b/../c", "/", "x?u=http://y.org/",
+]
+BASES = ["http://h.org/d/e/f.html?q=1", "http://h.org", "http://h.org/d/"]
+
+
+def test_relative_references(spark):
+    from urllib.parse import urljoin
+
+    rows = [(b, r) for b in BASES for r in REFERENCES]
+    df = spark.createDataFrame(rows, "base string, ref string").select("*", redirects.resolved(F.col("base"), F.col("ref")).alias("got"))
+    clean = lambda u: re.sub(r"^http:(//[^/?#]*)/?", r"\1/", u)
+    for r in df.collect():
+        assert clean(r["got"]) == clean(urljoin(r["base"], r["ref"])), r
+
+
+def test_links_of_all_forms_and_no_others(spark):
+    css = '<link rel=stylesheet href="/css/refresh.css"><link rel="alternate" title="canonical" href="/es/all">'
+    rows = [
+        (1, "http://x.net/es/a/1", css),  # blocked by rule
+        (2, "http://a.org/b/1", css + page("http://x.net/es/a/1") + css),
+        (3, "http://a.org/b/2", css),
+        (4, "http://a.org/b/3", page("1")),
+        (5, "http://a.org/b/c/4", page("0;url=../1", '<meta http-equiv="Refresh" content="{}">')),
+        (6, "http://a.org/b/1?p=2", page("?", "<link rel='x canonical' href={}>")),
+        (7, "http://b.org/7", '<base href="http://x.net/es/a/">' + page("1")),
+        (8, "http://a.org/b/8", '<meta name="refresh" content="0;url=http://x.net/es/a/1">'),
+        (9, "http://x.org/b/9", "<meta http-equiv=refresh content=5>"),
+        (10, "http://a.org/z", '<base href="/b/">' + page("1")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"] for r in redirects.judged(df, URL_RULES).where("verdict = 'block'").collect()}
+    assert got == {1, 2, 4, 5, 6, 7, 10}
+
+
 def test_a_hub_of_many_pages(spark):
     rows = [(i, f"http://s{i}.org/", page("http://hub.org/")) for i in range(300)] + [(300, "http://hub.org", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -25,7 +25,10 @@ QUERY = r"(?s)^[^#]*?\?([^#]*)"
 # Parameters that track a visitor and don't name another page.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid)(=|$)"
 LINK_TAG = r"(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"
-LINK_TARGET = r"""(?is)\b(?:href|url)\s*=\s*["']?([^"'>\s]+)"""
+BASE_TAG = r"(?is)<base\b[^>]*>"
+ATTRIBUTE = r"""(?s)[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+# What a refresh waits, then where it goes.
+REFRESH = r"""(?is)^(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?+|url\s*=\s*)["']?([^"'\s]+)"""
 # Rules are compared one by one, in the plan.
 MOST_RULES = 1000
 
@@ -73,22 +76,67 @@ def _action(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.when(rule.isin(allowed), "allow").when(rule.isNotNull(), "block")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, null without one."""
+    all_ = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    own = F.get(F.filter(all_, lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    value = F.regexp_replace(own, r"(?s)^[^=]*=\s*", "")
+    return F.replace(F.regexp_replace(value, r"""^["']?\s*|\s*["']?$""", ""), F.lit("&amp;"), F.lit("&"))
+
+
+def _target(tag: Column) -> Column:
+    """What a canonical link or a refresh names, null for any other tag."""
+    canonical = tag.rlike(r"(?i)^<link\b") & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = tag.rlike(r"(?i)^<meta\b") & _attribute(tag, "http-equiv").rlike(r"(?i)^refresh$")
+    return F.when(canonical, _attribute(tag, "href")).when(
+        refresh, F.regexp_extract(_attribute(tag, "content"), REFRESH, 1)
+    )
+
+
+def _without_dots(url_path: Column) -> Column:
+    """A path from ``/`` on whose ``.`` and ``..`` are resolved."""
+
+    def step(kept, part):
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(F.regexp_replace(F.regexp_replace(url_path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    dotted = url_path.rlike(r"/\.\.?(/|$)")
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(url_path)
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """A reference as an absolute url, null if it has none."""
+    of_base, own = path(base), F.regexp_replace(ref, r"(?s)[?#].*$", "")
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(of_base, "[^/]*$", ""), "^/", ""))
+    query = F.regexp_extract(base, QUERY, 1)
+    kept = F.when((own == "") & ~ref.startswith("?") & (query != ""), F.concat(F.lit("?"), query)).otherwise("")
+    full = F.when(own.startswith("/"), own).when(own == "", of_base).otherwise(F.concat(folder, own))
+    whole = F.concat(
+        F.lit("http://"), host(base), _without_dots(full), kept, F.regexp_extract(ref, r"(?s)[?#].*$", 0)
+    )
+    return (
+        F.when(ref == "", F.lit(None))
+        .when(ref.startswith("//"), F.concat(F.lit("http:"), ref))
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(ref.rlike("^[^:]*://"), ref))
+        .when(base.contains("://"), whole)
+    )
+
+
 def linked_urls(html: Column, url: Column) -> Column:
-    """Targets of canonical links and refresh redirects in a page: absolute, or from ``//`` or ``/``.
+    """Targets of canonical links and refresh redirects in a page.
 
-    Other relative references are left out.
+    Relative references start from the page's ``<base href>``, else from its url.
     """
     tags = F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0))
-    found = F.transform(
-        tags, lambda t: F.regexp_replace(F.regexp_extract(t, LINK_TARGET, 1), "&amp;", "&")
-    )
-    whole = F.transform(
-        found,
-        lambda u: F.when(u.startswith("//"), F.concat(F.lit("http:"), u))
-        .when(u.startswith("/"), F.concat(F.lit("http://"), host(url), u))
-        .otherwise(u),
-    )
-    return F.filter(whole, lambda u: u.contains("://"))
+    found = F.filter(F.transform(tags, _target), lambda u: u.isNotNull())
+    first = F.transform(F.regexp_extract_all(html, F.lit(BASE_TAG), F.lit(0)), lambda t: _attribute(t, "href"))
+    given = F.get(F.filter(first, lambda u: u.isNotNull()), F.lit(0))
+    # bound once by each transform
+    base = F.transform(F.array(given), lambda g: F.coalesce(resolved(url, g), url))
+    whole = F.flatten(F.transform(base, lambda b: F.transform(found, lambda u: resolved(b, u))))
+    return F.when(F.size(found) > 0, F.filter(whole, lambda u: u.isNotNull()))
 
 
 def judged(
