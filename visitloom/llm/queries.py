@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import content_sort, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates
+from visitloom.llm import content_sort, divergence, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates
 from visitloom.llm.common import table
 from visitloom.session import fresh_path
 
@@ -225,3 +225,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(shown, ",").alias("surrogates")
     )
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents),
+occurs AS (
+  SELECT doc, lang, source,
+         translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs),
+per_doc AS (SELECT doc, lang, source, term, count(*) AS n FROM occurs GROUP BY ALL),
+kept AS (
+  SELECT lang, term, sum(n) AS lang_n FROM per_doc GROUP BY lang, term HAVING count(*) >= 30),
+cells AS (
+  SELECT lang, source, term, sum(n) AS n FROM per_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+per_lang AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+per_group AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS bigint) AS p,
+         cast(1 + (1000000000::hugeint * (k.lang_n + 5)) // (l.total + 5 * l.v) AS bigint) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN per_lang l USING (lang)
+  LEFT JOIN per_group t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, cast(coalesce(x.value, 0) AS bigint) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, cast(p - q AS bigint) AS value
+  FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS int) AS rank
+FROM pairs
+UNION ALL
+SELECT * FROM (
+  SELECT lang, source, part, item, value,
+         cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS int) AS rank
+  FROM terms)
+WHERE rank <= 50
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
