@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import COLUMNS, ODD, padded
@@ -77,14 +79,35 @@ def test_empty_table(none):
     assert df.count() == 0 and df.columns == ["lang", "source", "part", "item", "value", "rank"]
 
 
-def test_a_chunk_is_cut_once(spark):
-    docs = spark.createDataFrame([(i, "Same/same same; one", "en", "a") for i in range(40)], "doc_id int, text string, lang string, source string")
-    counts = {r["term"]: (r["n"], r["n_docs"]) for r in divergence.term_counts(docs, "lang", "source", "text").collect()}
-    assert counts == {"same": (120, 40), "one": (40, 40)}
+NUMBERED = "lang_no int, number int, text string"
+
+
+def test_chunks_of_one_term_in_one_document(spark):
+    rows = [(1, i % 2, "Same/same same; one") for i in range(40)] + [(1, 0, "(one)")]
+    docs = spark.createDataFrame(rows, NUMBERED)
+    counts = {(r["term"], r["number"]): r["n"] for r in divergence.term_counts(docs, 40).collect()}
+    assert counts == {("same", 0): 60, ("same", 1): 60, ("one", 0): 21, ("one", 1): 20}
+    assert divergence.term_counts(docs, 42).count() == 0
+
+
+def test_runs_are_merged_as_they_are_read(spark, monkeypatch):
+    least, rng = 5, np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b", "A.", "c,", "d"], 9, p=[0.6, 0.1, 0.1, 0.1, 0.1])) for _ in range(300)]
+    batches = []
+    for i, text in enumerate(texts):
+        batches.append(divergence._block(np.array([i % 2]), np.array([i % 3]), pa.array([text]), i << 24, least).batch())
+    table = pa.Table.from_batches(batches).sort_by("key")
+    monkeypatch.setattr(divergence, "ROWS_AT_ONCE", 50)
+    merged = list(divergence._by_key(least, True, lambda rows: rows.batch())(table.to_batches(max_chunksize=20)))
+    got = divergence.Counts.of(pa.Table.from_batches(merged).combine_chunks().to_batches()[0])
+    want = {(w, k): sum(w in t.split() for t in texts[k::2]) for k in (0, 1) for w in ("a", "b", "A.", "c,", "d")}
+    names = got.names.to_pylist()
+    assert {(names[k], g): n for k, g, n in zip(got.key, got.lang, got.n_docs)} == want
+    assert got.n.sum() == 9 * len(texts)
 
 
 @pytest.mark.parametrize("text", ["naïve Ärger straße 日本 x y", "\x0b\x0c\r a\x85b", "1a2B3"])
 def test_terms(spark, text):
-    docs = spark.createDataFrame([(text, "l", "s")], "text string, lang string, source string")
-    found = {r["term"]: r["n"] for r in divergence.term_counts(docs, "lang", "source", "text").collect()}
+    docs = spark.createDataFrame([(0, 0, text)], NUMBERED)
+    found = {r["term"]: r["n"] for r in divergence.term_counts(docs, 1).collect()}
     assert found == Counter(t.translate(LOWER) for t in TERM.findall(text))

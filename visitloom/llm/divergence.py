@@ -2,19 +2,22 @@
 
 A chunk is what stands between white space, and no term reaches over white space.
 So documents are only cut into chunks, whose occurrences are counted document by
-document; every globally distinct chunk is cut into its terms once, and the terms
-are joined back to the chunk's counts. Distinct documents and occurrences of a
-term are aggregated from there.
-
-The counts travel in blocks: a row holds a chunk, its count in the documents of one
-language and source of a block, and the places of those documents in the block. A
-document lies in one block, so distinct documents add up over blocks, and the most
-frequent chunk has one row a block, language and source, however often it occurs.
+document, block by block. The counts are dealt and sorted by chunk; there every
+globally distinct chunk is cut into its terms once, and they are joined to its
+counts. Dealt and sorted by term, distinct documents and occurrences add up.
+
+A count row belongs to a chunk (or term) and a language: occurrences by source,
+how many documents hold it, and which, as long as they are fewer than a term needs
+to be kept: with more the number itself decides. So a row is bounded by the sources
+and ``least_docs``, and the most frequent chunk has one row a block and language,
+however often it occurs. Rows of one key are merged as they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import ship
+from visitloom.llm.common import shuffle_parts, ship
 from visitloom.llm.repetition import blocks
 from visitloom.session import materialize
 
@@ -31,39 +34,128 @@ from visitloom.session import materialize
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text whose chunks are counted at once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
+# Count rows that are merged at once.
+ROWS_AT_ONCE = 200_000
 # Sources whose probabilities are compared at once; a language with more has several tiles.
 TILE = 256
 # Terms that are compared at once.
 TERMS_AT_ONCE = 2048
 
-_CHUNKS = "block long, lang string, source string, chunk string, n long, docs array<int>"
+_COUNTS = "key string, lang int, counts binary"
 _SUMS = "lang string, tile_a int, tile_b int, n_terms long, at_a int, at_b int, value long"
 
 
-def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_CHUNKS`` of (lang, source, text); no column holds nulls."""
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        at = 0
-        for texts in blocks(batch.column(2), BLOCK_BYTES):
-            labels = pa.StructArray.from_arrays(
-                [batch.column(i).slice(at, len(texts)) for i in (0, 1)], ["lang", "source"]
-            )
-            at += len(texts)
-            counted = _block(labels, texts, block)
-            block += 1
-            if counted is not None:
-                yield counted
-
-
-def _block(labels: pa.StructArray, texts: pa.Array, block: int) -> pa.RecordBatch | None:
-    lang, source = (labels.field(i).dictionary_encode() for i in (0, 1))
-    n_sources = len(source.dictionary)
-    group = np.asarray(lang.indices).astype(np.int64) * n_sources + np.asarray(source.indices)
-    by_group = np.argsort(group, kind="stable")  # documents of a group lie side by side
-    place = np.empty(len(by_group), np.int64)
-    place[by_group] = np.arange(len(by_group))
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all elements of the runs that begin at ``starts``."""
+    done = np.cumsum(sizes) - sizes
+    return np.repeat(starts - done, sizes) + np.arange(int(sizes.sum()))
+
+
+@dataclass
+class Counts:
+    """Count rows, sorted by (key, lang). ``docs`` holds none for a row of enough documents."""
+
+    key: np.ndarray  # places in ``names``
+    names: pa.Array
+    lang: np.ndarray
+    n_docs: np.ndarray  # documents, each counted once a chunk
+    most: np.ndarray  # distinct documents are at least so many
+    n_sources: np.ndarray
+    source: np.ndarray  # (of all rows, one after the other)
+    n: np.ndarray
+    n_listed: np.ndarray
+    docs: np.ndarray
+
+    def batch(self) -> pa.RecordBatch:
+        """Counts as 64-bit numbers: n_docs, most, sources, the sources, their counts, documents."""
+        size = 3 + 2 * self.n_sources + self.n_listed
+        ends = np.cumsum(size)
+        at = ends - size
+        flat = np.empty(int(size.sum()), np.int64)
+        flat[at], flat[at + 1], flat[at + 2] = self.n_docs, self.most, self.n_sources
+        flat[_ragged(at + 3, self.n_sources)] = self.source
+        flat[_ragged(at + 3 + self.n_sources, self.n_sources)] = self.n
+        flat[_ragged(at + 3 + 2 * self.n_sources, self.n_listed)] = self.docs
+        offsets = pa.py_buffer(np.r_[0, ends * 8].astype(np.int32).tobytes())
+        packed = pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(flat.tobytes())])
+        columns = [self.names.take(pa.array(self.key)), pa.array(self.lang.astype(np.int32)), packed]
+        return pa.RecordBatch.from_arrays(columns, ["key", "lang", "counts"])
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "Counts":
+        coded, packed = batch.column(0).dictionary_encode(), batch.column(2)
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        flat = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
+        at = (offsets[:-1].astype(np.int64) - offsets[0]) // 8
+        size = np.diff(offsets).astype(np.int64) // 8
+        n_sources = flat[at + 2]
+        n_listed = size - 3 - 2 * n_sources
+        return cls(
+            np.asarray(coded.indices).astype(np.int64), coded.dictionary,
+            np.asarray(batch.column(1)).astype(np.int64), flat[at], flat[at + 1], n_sources,
+            flat[_ragged(at + 3, n_sources)], flat[_ragged(at + 3 + n_sources, n_sources)],
+            n_listed, flat[_ragged(at + 3 + 2 * n_sources, n_listed)],
+        )
+
+    def rows(self, of: np.ndarray) -> "Counts":
+        sources = _ragged((np.cumsum(self.n_sources) - self.n_sources)[of], self.n_sources[of])
+        docs = _ragged((np.cumsum(self.n_listed) - self.n_listed)[of], self.n_listed[of])
+        return Counts(
+            self.key[of], self.names, self.lang[of], self.n_docs[of], self.most[of], self.n_sources[of],
+            self.source[sources], self.n[sources], self.n_listed[of], self.docs[docs],
+        )
+
+    def merged(self, least: int, disjoint: bool) -> "Counts":
+        """One row for each key and language. ``disjoint``: no document is in two rows of a key."""
+        rows = self.rows(np.lexsort((self.lang, self.key)))
+        new = np.r_[True, (rows.key[1:] != rows.key[:-1]) | (rows.lang[1:] != rows.lang[:-1])]
+        first, into = np.flatnonzero(new), np.cumsum(new) - 1
+        n_docs = np.add.reduceat(rows.n_docs, first)
+        most = n_docs.copy() if disjoint else np.maximum.reduceat(rows.most, first)
+        of = np.repeat(into, rows.n_sources)
+        order = np.lexsort((rows.source, of))
+        of, source, n = of[order], rows.source[order], rows.n[order]
+        start = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (source[1:] != source[:-1])])
+        listing = np.repeat(into, rows.n_listed)
+        use = most[listing] < least
+        listing, docs = listing[use], rows.docs[use]
+        if not disjoint:
+            order = np.lexsort((docs, listing))
+            listing, docs = listing[order], docs[order]
+            once = np.r_[True, (listing[1:] != listing[:-1]) | (docs[1:] != docs[:-1])][: len(docs)]
+            listing, docs = listing[once], docs[once]
+            most = np.maximum(most, np.bincount(listing, minlength=len(first)))
+            listing, docs = listing[most[listing] < least], docs[most[listing] < least]
+        return Counts(
+            rows.key[first], rows.names, rows.lang[first], n_docs, most,
+            np.bincount(of[start], minlength=len(first)), source[start], np.add.reduceat(n, start),
+            np.bincount(listing, minlength=len(first)), docs,
+        )
+
+
+def _chunk_counts(least: int):
+    """Arrow function over (lang, source, text): count rows of the chunks of each block."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            at = 0
+            for texts in blocks(batch.column(2), BLOCK_BYTES):
+                lang, source = (np.asarray(batch.column(i).slice(at, len(texts))).astype(np.int64) for i in (0, 1))
+                at += len(texts)
+                counted = _block(lang, source, texts, block << 24, least)
+                block += 1
+                if counted is not None:
+                    yield counted.batch()
+
+    return counts
+
+
+def _block(lang: np.ndarray, source: np.ndarray, texts: pa.Array, doc_base: int, least: int) -> Counts | None:
+    by_source = np.lexsort((source, lang))  # documents of a language and source lie side by side
+    place = np.empty(len(by_source), np.int64)
+    place[by_source] = np.arange(len(by_source))
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten()
     full = np.asarray(pc.binary_length(words)) > 0  # leading and trailing white space
@@ -74,19 +166,87 @@ def _block(labels: pa.StructArray, texts: pa.Array, block: int) -> pa.RecordBatc
         return None
     key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.diff(np.r_[first, len(key)])
+    count = np.diff(np.r_[first, len(key)])  # occurrences of a chunk in a document
     chunk, doc = np.divmod(key[first], len(texts))
-    of = group[by_group][doc]
-    starts = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (of[1:] != of[:-1])])
-    columns = [
-        pa.array(np.full(len(starts), block)),
-        lang.dictionary.take(pa.array(of[starts] // n_sources)),
-        source.dictionary.take(pa.array(of[starts] % n_sources)),
-        code.dictionary.take(pa.array(chunk[starts])),
-        pa.array(np.add.reduceat(count, starts)),
-        pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)], pa.int32()), pa.array(doc, pa.int32())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["block", "lang", "source", "chunk", "n", "docs"])
+    lang, source = lang[by_source][doc], source[by_source][doc]
+    new_row = np.r_[True, (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])]
+    new_source = new_row | np.r_[True, source[1:] != source[:-1]]
+    rows, pairs = np.flatnonzero(new_row), np.flatnonzero(new_source)
+    row = np.cumsum(new_row) - 1
+    n_docs = np.diff(np.r_[rows, len(doc)])
+    listed = n_docs[row] < least
+    return Counts(
+        chunk[rows], code.dictionary, lang[rows], n_docs, n_docs,
+        np.bincount(row[pairs]), source[pairs], np.add.reduceat(count, pairs),
+        np.where(n_docs < least, n_docs, 0), doc_base + doc[listed],
+    )
+
+
+def _by_key(least: int, disjoint: bool, done: Callable[[Counts], pa.RecordBatch]):
+    """Arrow function over count rows sorted by key: ``done`` of the merged rows of whole keys."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            rows = Counts.of(pa.Table.from_batches(held).combine_chunks().to_batches()[0]).merged(least, disjoint)
+            open_key = len(rows.key) if last else int(np.searchsorted(rows.key, rows.key[-1]))
+            if open_key:
+                yield done(rows.rows(np.arange(open_key)))
+            held = [] if last else [rows.rows(np.arange(open_key, len(rows.key))).batch()]
+            n = 0
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return merge
+
+
+_TERM = re.compile(TERM)
+_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _terms_of(chunks: Counts) -> pa.RecordBatch:
+    """The chunks' rows once for each of their terms."""
+    place: dict[str, int] = {}
+    term, times, size = [], [], []
+    for chunk in chunks.names.to_pylist():
+        found = [t.translate(_LOWER) for t in _TERM.findall(chunk)]
+        own = dict.fromkeys(found)
+        term += [place.setdefault(t, len(place)) for t in own]
+        times += [found.count(t) for t in own] if len(own) < len(found) else [1] * len(found)
+        size.append(len(own))
+    size, term, times = (np.array(x, np.int64) for x in (size, term, times))
+    start = np.cumsum(size) - size
+    each = size[chunks.key]
+    out = chunks.rows(np.repeat(np.arange(len(chunks.key)), each))
+    at = _ragged(start[chunks.key], each)
+    out.key, out.names = term[at], pa.array(list(place), pa.string())
+    out.n = out.n * np.repeat(times[at], out.n_sources)
+    return out.batch()
+
+
+def _kept(least: int):
+    """Arrow function: (lang, source, term, n) of the terms in enough documents."""
+
+    def kept(terms: Counts) -> pa.RecordBatch:
+        rows = terms.rows(np.flatnonzero(terms.most >= least))
+        columns = [
+            pa.array(np.repeat(rows.lang, rows.n_sources), pa.int32()),
+            pa.array(rows.source, pa.int32()),
+            rows.names.take(pa.array(np.repeat(rows.key, rows.n_sources))),
+            pa.array(rows.n),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang_no", "number", "term", "n"])
+
+    return kept
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,36 +286,25 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["lang", "tile_a", "tile_b", "n_terms", "at_a", "at_b", "value"])
 
 
-def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """``lang``, ``source``, ``term``, occurrences ``n`` and distinct documents ``n_docs``."""
+def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """Occurrences ``n`` of each term that at least ``least_docs`` documents of its language hold.
+
+    ``docs`` has numbers for language (``lang_no``) and source (``number``), and ``text``;
+    so has the result, with ``term`` in place of the text, for each source that has the term.
+    """
     ship(docs.sparkSession)
-    plain = docs.select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    parts = shuffle_parts(docs.sparkSession)
+    chunks = (
+        docs.select("lang_no", "number", "text").mapInArrow(_chunk_counts(least_docs), _COUNTS)
+        .repartition(parts, "key").sortWithinPartitions("key")
     )
-    chunks = materialize(plain.mapInArrow(_chunk_counts, _CHUNKS), "chunks")
-    found = F.regexp_extract_all("chunk", F.lit(TERM), 0)
     terms = (
-        chunks.select("chunk").distinct()
-        .select("chunk", F.explode(found).alias("found"))
-        .groupBy("chunk", F.translate("found", UPPER, LOWER).alias("term"))
-        .agg(F.count(F.lit(1)).alias("times"))
+        chunks.mapInArrow(_by_key(least_docs, True, _terms_of), _COUNTS)
+        .repartition(parts, "key", "lang").sortWithinPartitions("key")
     )
-    per_block = (
-        chunks.join(terms, "chunk")
-        .groupBy("lang", "source", "term", "block")
-        .agg(
-            F.sum(F.col("n") * F.col("times")).alias("n"),
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.collect_list("docs").alias("docs"),  # a document is there once a chunk at most
-        )
-        .select(
-            "lang", "source", "term", "n",
-            F.when(F.col("n_chunks") == 1, F.size(F.col("docs")[0]))
-            .otherwise(F.size(F.array_distinct(F.flatten("docs"))))
-            .alias("n_docs"),
-        )
+    return terms.mapInArrow(
+        _by_key(least_docs, False, _kept(least_docs)), "lang_no int, number int, term string, n long"
     )
-    return per_block.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def divergence(
@@ -186,27 +335,25 @@ def divergence(
     """
     keys = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
     # one row for each language and source: the result has the square of their number
-    groups = docs.select(*keys).distinct()
-    counts = materialize(term_counts(docs, lang_col, source_col, text_col), "terms")
-    kept = (
-        counts.groupBy("lang", "term")
-        .agg(F.sum("n_docs").alias("in_docs"), F.sum("n").alias("lang_n"))
-        .where(F.col("in_docs") >= least_docs)
-        .drop("in_docs")
-    )
-    cells = materialize(counts.drop("n_docs").join(kept, ["lang", "term"]), "cells")
+    numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    groups = docs.select(*keys).distinct().withColumn("number", numbered)
+    langs = groups.select("lang").distinct().withColumn("lang_no", F.row_number().over(Window.orderBy("lang")))
+    groups = materialize(groups.join(F.broadcast(langs), "lang"), "numbers")
+    plain = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = term_counts(plain.join(F.broadcast(groups), ["lang", "source"]), least_docs)
+    cells = materialize(found.join(F.broadcast(groups), ["lang_no", "number"]), "cells")
     per_source = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    per_lang = cells.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.countDistinct("term").alias("n_terms"))
+    per_term = cells.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
+    per_lang = per_term.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("n_terms"))
+    cells = cells.select("lang", "source", "term", "n").join(per_term, ["lang", "term"])
 
     def p(count, total):
         of = (F.lit(scale).cast("decimal(12,0)") * (count + F.lit(added)).cast("decimal(20,0)"))
         space = (total + F.lit(added) * F.col("n_terms")).cast("decimal(20,0)")
         return F.when(F.col("n_terms") > 0, F.lit(1).cast("long") + F.call_function("div", of, space))
 
-    numbered = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = materialize(
-        groups.withColumn("number", numbered)
-        .join(per_source, ["lang", "source"], "left")
+        groups.join(per_source, ["lang", "source"], "left")
         .join(per_lang, "lang", "left")
         .na.fill(0, ["total", "lang_total", "n_terms"])
         .withColumn("rest", p(F.lit(0), F.col("total")))
