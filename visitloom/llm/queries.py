@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import content_sort, divergence, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates
+from visitloom.llm import content_sort, divergence, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates, trie
 from visitloom.llm.common import table
-from visitloom.session import fresh_path
+from visitloom.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,3 +277,81 @@ WHERE rank <= 50
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  -- CRC-32 of the decimal id, bit by bit
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(
+           list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id AS varchar), ''),
+             lambda c: list_transform(range(8), lambda b: (ascii(c) >> b) & 1)))),
+           lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.n < c.h
+  UNION ALL
+  SELECT c.conv_id, t.n, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.n >= c.h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER own AS depth,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         sha256(array_to_string(list(sha256(len(role) || ':' || role || text)) OVER own, ',')) AS node
+  FROM rebuilt WINDOW own AS (PARTITION BY conv_id ORDER BY n)),
+members AS (
+  SELECT conv_id, depth, words, node,
+         coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+  FROM prefixes
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM prefixes) FROM convs),
+nodes AS (
+  SELECT node, min(parent) AS parent, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * max(words) AS saved,
+         sha256(coalesce(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node),
+children AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+subtrees AS (
+  SELECT m.node, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(u.saved) AS saved_tokens
+  FROM nodes u JOIN members m ON m.conv_id = u.conv_id AND m.depth <= u.depth
+  LEFT JOIN children c ON c.parent = u.node
+  GROUP BY m.node)
+SELECT v.conv_id, cast(v.depth AS bigint) AS depth, p.conv_id AS parent_conv_id, v.n_convs,
+       coalesce(c.n, 0) AS n_children, cast(s.n_leaves AS bigint) AS n_leaves,
+       cast(s.saved_tokens AS bigint) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN subtrees s USING (node)
+LEFT JOIN children c ON c.parent = v.node
+LEFT JOIN nodes p ON p.node = v.parent
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return trie.prefix_trie(rebuilt(turns))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """The conversations that the query's contract asks for, of ``trie.numbered_turns``.
+
+    The first h turns of the conversation whose id is the next lower multiple of 20,
+    then the own turns after the first h, with h from the checksum of the id.
+    """
+    borrowed = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "turn"))), lambda t: t["turn"])
+    heads = (
+        turns.where("conv_id % 20 = 0 AND n < 3")
+        .groupBy(F.col("conv_id").alias("base")).agg(in_order.alias("head"))
+    )
+    own = turns.withColumn("n", F.when(F.col("n") >= borrowed, F.col("n")))
+    kept = F.filter(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "turn"))), lambda t: t.isNotNull())
+    own = own.groupBy("conv_id").agg(F.transform(F.array_sort(kept), lambda t: t["turn"]).alias("tail"))
+    nothing = F.array().cast(trie.TURNS)
+    return own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(heads, "base", "left").select(
+        "conv_id",
+        F.concat(F.slice(F.coalesce("head", nothing), 1, borrowed.cast("int")), F.coalesce("tail", nothing)).alias("turns"),
+    )
