@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import content_sort, divergence, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, surrogates, trie
+from visitloom.llm import content_sort, divergence, langid, mixing, packing, randomness, redirects, repetition, simhash, simple8b, substrings, surrogates, trie
 from visitloom.llm.common import table
 from visitloom.session import fresh_path, materialize
 
@@ -227,6 +227,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_repeated_strings")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.without_repeats(docs, length=200, carry=["doc_id"])
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 @query(
     "op13_source_divergence",
     r"""
