@@ -430,8 +430,8 @@ def without_repeats(
     marks = shared.groupBy("key").agg(  # the samples of one text
         F.collect_list(F.struct("h", "run", "hot", "lo", "ahead", "starts")).alias("marks")
     )
-    # the texts are dealt once for both uses
-    texts = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("body").alias("body"))
+    # the texts are dealt once for both uses, as both plans have the filter that joins would add to one
+    texts = bodies.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("body").alias("body"))
     near = (
         texts.join(marks, "key").select("key", "copies", "body", "marks").mapInArrow(_near(length), _NEAR)
         .repartition(parts, "h", "run").sortWithinPartitions("h", "run")
