@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -44,6 +45,14 @@ def test_ids_are_those_of_the_library(both, texts):
     same(*both, texts)
 
 
+def test_ids_of_words_that_normalising_changes(both):
+    """Words whose letters are composed, taken apart or marked, many in one call of the library."""
+    rng = random.Random(0)
+    letters = list("abXYZéÉßÿÑÖİıſΩ日.,;'!#<|>/-_09€…’\u0301\u200d×ªµº") + ["don't", "word's", "<|endoftext|>", "ÀÉ'.", "Zß!?"]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(6000)]
+    same(*both, [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)])
+
+
 @pytest.mark.parametrize("most", [3, 40])
 def test_the_cache_is_emptied(both, monkeypatch, most):
     monkeypatch.setattr("visitloom.llm.tokens.CACHED_UNITS", most)

@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from visitloom.llm.common import shuffle_parts, ship
 from visitloom.llm.repetition import blocks
-from visitloom.llm.tokens import BLOCK_BYTES, encoder
+from visitloom.llm.tokens import encoder
 
 MAGIC = b"S8B1"
 BLOCK_IDS = 256
+# Bytes of text whose ids make one row of a file.
+BLOCK_BYTES = 8_000_000
 _HEADER = struct.Struct("<4sIQQQQQ")
 # Fixed values of the format: ids in a word and bits of each, by selector.
 # Selector 0 is the escape.

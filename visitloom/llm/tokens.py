@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,16 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 # Units that one call of the library takes.
 _JOINED = 100
+# A word of Latin letters and the punctuation behind it are one piece each, in any case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters beyond ASCII in ``_PLAIN`` as a byte-level model spells them: a letter for each byte."""
+    shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    hidden = (b for b in range(256) if b not in shown)
+    shown |= {b: chr(256 + i) for i, b in enumerate(list(hidden))}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Encoder:
@@ -41,6 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.pieces = regex.compile(_PIECES)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(size))
@@ -92,17 +104,51 @@ class Encoder:
         self._add(True, units, ids, ends)
         return True
 
+    def _piece(self, piece: str, led: bool) -> list[int]:
+        """Ids of a piece of ``_PLAIN``, straight from the model: no cutting is left to do."""
+        if not self.spaced:
+            piece = piece.lower()
+        if not piece.isascii():
+            piece = piece.translate(self.letters)
+        if self.spaced and led:
+            piece = "Ġ" + piece
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _learn_plain(self, led: bool, units: list[str]) -> list[str]:
+        """Ids of the units that are a plain word; returns the others."""
+        rest, done, flat, ends = [], [], [], []
+        words: dict[str, list[int]] = {}  # of these units; they come with several marks
+        marks: dict[str, list[int]] = {}
+        for unit in units:
+            cut = _PLAIN(unit)
+            if cut is None:
+                rest.append(unit)
+                continue
+            word, mark = cut.groups()
+            if word not in words:
+                words[word] = self._piece(word, led)
+            flat += words[word]
+            if mark:
+                if mark not in marks:
+                    marks[mark] = self._piece(mark, False)
+                flat += marks[mark]
+            done.append(unit)
+            ends.append(len(flat))
+        if done:
+            self._add(led, done, np.array(flat, np.uint32), np.array(ends, np.int64))
+        return rest
+
     def _learn(self, led: bool, units: list[str]) -> None:
         simple, pieces, single = [], [], []
-        for unit in units:
+        for unit in self._learn_plain(led, units):
             if not led or len(unit) > 64:
                 single.append(unit)
-            elif unit.isalpha():
+            elif unit.isascii() and unit.isalpha():
                 simple.append(unit)
                 pieces.append(1)
             elif unit.split() == [unit] and "<|" not in unit:
                 simple.append(unit)
-                pieces.append(1 if self.spaced else len(self.pieces.findall(unit)))
+                pieces.append(1 if self.spaced else len(self.pieces.findall(normalize("NFC", unit).lower())))
             else:
                 single.append(unit)
         for i in range(0, len(simple), _JOINED):
