@@ -8,10 +8,13 @@ ids are put together again. The result is that of the library on the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import repeat
 from unicodedata import normalize
 
 import numpy as np
@@ -42,6 +45,22 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+
+
+@contextmanager
+def _no_collector():
+    """Makes many small lists and no cycles: the collector would walk over them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Encoder:
     """Ids by a tokenizer file. ``spaced``: a space belongs to the word after it, else it is dropped."""
 
@@ -53,6 +72,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.line_feed = [t.id for t in self.model.tokenize("Ċ")]
         self.pieces = regex.compile(_PIECES)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(size))
@@ -104,34 +124,53 @@ class Encoder:
         self._add(True, units, ids, ends)
         return True
 
-    def _piece(self, piece: str, led: bool) -> list[int]:
-        """Ids of a piece of ``_PLAIN``, straight from the model: no cutting is left to do."""
-        if not self.spaced:
-            piece = piece.lower()
-        if not piece.isascii():
-            piece = piece.translate(self.letters)
-        if self.spaced and led:
-            piece = "Ġ" + piece
-        return [t.id for t in self.model.tokenize(piece)]
-
     def _learn_plain(self, led: bool, units: list[str]) -> list[str]:
-        """Ids of the units that are a plain word; returns the others."""
+        """Ids of the units that are plain words, or lines of one each; returns the others.
+
+        A plain word, its mark and a line feed before a word are a piece each, so the
+        model gets them as they are.
+        """
         rest, done, flat, ends = [], [], [], []
-        words: dict[str, list[int]] = {}  # of these units; they come with several marks
-        marks: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = {}  # of these units; words come with several marks
+        tokenize, lead = self.model.tokenize, "Ġ" if self.spaced and led else ""
         for unit in units:
+            if unit.isalpha() and unit.isascii():  # most of them
+                flat += [t.id for t in tokenize(lead + (unit if self.spaced else unit.lower()))]
+                done.append(unit)
+                ends.append(len(flat))
+                continue
             cut = _PLAIN(unit)
-            if cut is None:
+            if cut is not None:
+                cuts = [(lead, *cut.groups())]
+            elif self.spaced and "\n" in unit:
+                lines = [_PLAIN(line) for line in unit.split("\n")]
+                if None in lines:
+                    rest.append(unit)
+                    continue
+                cuts = [("" if i else lead, *line.groups()) for i, line in enumerate(lines)]
+            else:
                 rest.append(unit)
                 continue
-            word, mark = cut.groups()
-            if word not in words:
-                words[word] = self._piece(word, led)
-            flat += words[word]
-            if mark:
-                if mark not in marks:
-                    marks[mark] = self._piece(mark, False)
-                flat += marks[mark]
+            for i, (before, word, mark) in enumerate(cuts):
+                if i:
+                    flat += self.line_feed
+                piece = before + word
+                ids = known.get(piece)
+                if ids is None:
+                    at = None if word is unit else self.index[i == 0 and led].get(word)
+                    if at is not None:  # met without its mark before
+                        ids = self.flat[self.offsets[at] : self.offsets[at + 1]].tolist()
+                    else:
+                        spelt = word if self.spaced else word.lower()
+                        if not spelt.isascii():
+                            spelt = spelt.translate(self.letters)
+                        ids = [t.id for t in tokenize(before + spelt)]
+                    known[piece] = ids
+                flat += ids
+                if mark:
+                    if mark not in known:
+                        known[mark] = [t.id for t in tokenize(mark)]
+                    flat += known[mark]
             done.append(unit)
             ends.append(len(flat))
         if done:
@@ -164,11 +203,14 @@ class Encoder:
 
     def _places(self, units: list[str], led: bool) -> np.ndarray:
         index = self.index[led]
-        found = list(map(index.get, units))
-        if None in found:
-            self._learn(led, list(dict.fromkeys(u for u, at in zip(units, found) if at is None)))
-            found = list(map(index.get, units))
-        return np.array(found, np.int64)
+        found = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            missing = [units[i] for i in new]
+            with _no_collector():
+                self._learn(led, list(dict.fromkeys(missing)))
+            found[new] = list(map(index.__getitem__, missing))
+        return found
 
     def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the units of all texts in the cache, and where each text's begin."""
@@ -178,17 +220,17 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         code = np.asarray(coded.indices)
         if not self.spaced:
-            return self._places(coded.dictionary.to_pylist(), True)[code], offsets
+            return self._places(_strings(coded.dictionary), True)[code], offsets
         odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR).cast(pa.uint8())) > 0
         first = np.zeros(len(code), bool)
         first[offsets[:-1]] = True
         usual = ~first & ~np.repeat(odd, np.diff(offsets))
         used = np.flatnonzero(np.bincount(code[usual], minlength=len(coded.dictionary)))
         place = np.zeros(len(coded.dictionary), np.int64)
-        words = coded.dictionary.take(pa.array(used)).to_pylist()
+        words = _strings(coded.dictionary.take(pa.array(used)))
         place[used] = self._places(words, True)
         units = place[code]
-        heads = coded.dictionary.take(pa.array(code[offsets[:-1]])).to_pylist()
+        heads = _strings(coded.dictionary.take(pa.array(code[offsets[:-1]])))
         units[offsets[:-1]] = self._places(heads, False)
         if not odd.any():
             return units, offsets
