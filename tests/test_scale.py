@@ -87,6 +87,37 @@ def test_neighbours_match_brute_force(points):
             assert np.allclose(near.dist, want[i], atol=1e-6) and i not in set(near.neighbor)
 
 
+def test_cells_are_bounded_and_pairs_grow_below_the_square(spark, monkeypatch):
+    pairs, made, search, partition = [], [], neighbors._search, neighbors.partition
+
+    def counted(queries, data, k, block_points):
+        key = ["grp", "cell", "block"]
+        a, b = (x.groupBy(*key).count().withColumnRenamed("count", n) for x, n in ((queries, "q"), (data, "d")))
+        pairs.append(a.join(b, key).selectExpr("sum(q * d)").first()[0])
+        return search(queries, data, k, block_points)
+
+    monkeypatch.setattr(neighbors, "_search", counted)
+    monkeypatch.setattr(neighbors, "partition", lambda *a: made.append(partition(*a)) or made[-1])
+    rng, total = np.random.default_rng(8), []
+    for n in (500, 2000):
+        pdf = pd.DataFrame({"grp": 0, "id": np.arange(n), "vec": list(rng.uniform(size=(n, 2)))})
+        pairs.clear()
+        assert neighbors.nearest_neighbors(spark.createDataFrame(pdf, "grp int, id bigint, vec array<double>"), 3, 8, 50).count() == 3 * n
+        total.append(sum(pairs))
+        placed, cells = made[-1]
+        assert placed.count() == n and placed.groupBy("cell").count().where("count > 50").isEmpty()
+        assert cells.where("is_leaf").agg({"n": "sum"}).first()[0] == n
+    # leaves hold 10 to 50 points, so the pairs of a point vary somewhat; the square would be sixteen times
+    assert total[1] < 9 * total[0] and total[1] < 0.1 * 2000**2
+
+
+def test_many_cells_are_joined(points, monkeypatch):
+    """The same distances where no list of cells is small enough to be sent to all tasks."""
+    _, df = points
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 0)
+    test_neighbours_match_brute_force(points)
+
+
 def test_smote_balances_inside_segments(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"id": np.arange(120), "label": [1] * 25 + [0] * 95, "kfold": np.arange(120) % 5, "vec": list(rng.normal(size=(120, 3)))})

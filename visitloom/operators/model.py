@@ -17,13 +17,12 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.functions.scalar import smape_term
 from visitloom.operators import evaluate
 
 _CLASSIFIERS = {"gbt": GBTClassifier, "forest": RandomForestClassifier, "logistic": LogisticRegression}
@@ -79,12 +78,8 @@ def fold_predictions(
         return _union(pool.map(inheritable_thread_target(spark)(one), folds))
 
 
-def cross_validate(
-    table: DataFrame, make: Callable[[], Estimator], folds: list[int], group: list[str] | None = None
-) -> DataFrame:
-    """Per-fold AUC of hard calls, accuracy, precision and recall."""
-    preds = fold_predictions(table, make, folds, group or [])
-    by = [*(group or []), "kfold"]
+def hard_metrics(preds: DataFrame, by: list[str]) -> DataFrame:
+    """AUC of hard calls, accuracy, precision and recall of each group."""
     c = evaluate.confusion(preds, by)
     tpr = evaluate.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     tnr = evaluate.ratio(F.col("tn"), F.col("tn") + F.col("fp"))
@@ -97,84 +92,25 @@ def cross_validate(
     )
 
 
+def cross_validate(
+    table: DataFrame, make: Callable[[], Estimator], folds: list[int], group: list[str] | None = None
+) -> DataFrame:
+    """Per-fold AUC of hard calls, accuracy, precision and recall."""
+    preds = fold_predictions(table, make, folds, group or [])
+    return hard_metrics(preds, [*(group or []), "kfold"])
+
+
 def mean_over_folds(per_fold: DataFrame, group: list[str]) -> DataFrame:
     return per_fold.groupBy(*group).agg(
         *[F.avg(m).alias(m) for m in ("auc", "acc", "prec", "recall")]
     )
 
 
-def sweep(
-    table: DataFrame, kind: str, base: dict, grid: dict[str, list], folds: list[int], parallelism: int = 4
-) -> DataFrame:
-    """One row per (param, value, fold) of a one-at-a-time sweep around ``base``."""
-
-    def one(item) -> DataFrame:
-        param, value = item
-        per_fold = fold_predictions(
-            table, lambda: classifier(kind, **{**base, param: value}), folds, [], parallelism=1
-        )
-        return per_fold.withColumn("param", F.lit(param)).withColumn("val", F.lit(str(value)))
-
-    items = [(p, v) for p, values in grid.items() for v in values]
-    with ThreadPool(min(parallelism, len(items))) as pool:
-        preds = _union(pool.map(inheritable_thread_target(table.sparkSession)(one), items))
-    c = evaluate.confusion(preds, ["param", "val", "kfold"])
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    return c.select(
-        "param",
-        "val",
-        "kfold",
-        ((evaluate.ratio(tp, tp + fn) + evaluate.ratio(tn, tn + fp)) / 2).alias("auc"),
-        evaluate.ratio(tp + tn, tp + fp + tn + fn).alias("acc"),
-        F.coalesce(evaluate.ratio(tp, tp + fp), F.lit(0.0)).alias("prec"),
-        F.coalesce(evaluate.ratio(tp, tp + fn), F.lit(0.0)).alias("recall"),
-    )
-
-
 def regression_cv(table: DataFrame, make: Callable[[], Estimator], folds: list[int]) -> DataFrame:
     preds = fold_predictions(table, make, folds, [])
     return evaluate.regression_metrics(preds, ["kfold"], "label", "prediction")
 
 
-def mean_smape(table: DataFrame, indices: list[int], make: Callable[[], Estimator], folds: list[int]) -> float:
-    """Mean fold SMAPE of a model on some of the vector's positions."""
-    cut = VectorSlicer(inputCol="all_features", outputCol="features", indices=indices)
-    sliced = cut.transform(table.withColumnRenamed("features", "all_features"))
-    preds = fold_predictions(sliced, make, folds, [])
-    per_fold = preds.groupBy("kfold").agg(F.avg(smape_term("label", "prediction")).alias("s"))
-    return per_fold.agg(F.avg("s")).first()[0]
-
-
-def forward_stepwise(
-    table: DataFrame, start: list[int], candidates: list[int], make: Callable[[], Estimator], folds: list[int]
-) -> tuple[list[int], float]:
-    """Add a candidate whenever it lowers the best cross-validated SMAPE."""
-    chosen, best = list(start), float("inf")
-    for c in candidates:
-        if c in chosen:
-            continue
-        error = mean_smape(table, [*chosen, c], make, folds)
-        if error < best:
-            best, chosen = error, [*chosen, c]
-    return chosen, best
-
-
-def backward_stepwise(
-    table: DataFrame, start: list[int], make: Callable[[], Estimator], folds: list[int], locked: list[int]
-) -> tuple[list[int], float]:
-    """Drop a feature whenever the error is lower without it."""
-    kept = list(start)
-    error = mean_smape(table, kept, make, folds)
-    for c in start:
-        if c in locked or len(kept) < 2:
-            continue
-        without = [x for x in kept if x != c]
-        other = mean_smape(table, without, make, folds)
-        if other < error:
-            kept, error = without, other
-    return kept, error
-
-
 def importances(model, names: list[str], spark) -> DataFrame:
     """(feature, importance) of a fitted forest, as long as the contract."""
     values = model.featureImportances.toArray()

@@ -1,5 +1,7 @@
 """Queries that fit models. They have no SQL oracle; tests check their properties."""
 
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +14,7 @@ from visitloom.operators import (
     balance,
     contributions,
     evaluate,
+    forests,
     labels,
     longitudinal,
     model,
@@ -170,28 +173,47 @@ def _score_table(spark, sf) -> DataFrame:
     return t.select("features", "kfold", F.col("score").cast("double").alias("label"))
 
 
-def _small_forest():
-    return model.regressor("forest", numTrees=3, maxDepth=3)
+def _binned(spark, sf, target: str) -> DataFrame:
+    """First-year visits with the score as label, features binned, written once."""
+
+    def build():
+        rows = first_year(spark, sf, target).select("visit_id", "features", "kfold", F.col("score").alias("label"))
+        return forests.binned(rows, "visit_id")
+
+    return _once(spark, sf, f"binned-{target}", build)
+
+
+def _subset_errors(spark, sf, target: str):
+    data = _binned(spark, sf, target)
+    return lambda subsets: forests.subset_errors(data, subsets, FOLDS, n_trees=3, max_depth=3)
+
+
+def _stepwise(spark, sf):
+    """Forward selection over every vector position, from the most important ones, written once."""
+
+    def build():
+        start = [i for _, i in _top_positions(spark, sf, 10)]
+        others = range(len(vector_names(spark, sf)))
+        return forests.forward_stepwise(start, others, _subset_errors(spark, sf, "updrs_1"))
+
+    return _once(spark, sf, "stepwise", build)
 
 
 @query("M08_forward_stepwise")
 def _(spark, sf):
-    top = _top_positions(spark, sf, 5)
-    chosen, error = model.forward_stepwise(
-        _score_table(spark, sf), [top[0][1]], [i for _, i in top[1:]], _small_forest, FOLDS
-    )
-    names = dict((i, n) for n, i in top)
-    return spark.createDataFrame([(names[i], float(error)) for i in chosen], "feature string, smape double")
+    names = vector_names(spark, sf)
+    chosen, _, taken = _stepwise(spark, sf)
+    errors = dict(taken)
+    rows = [(names[i], place + 1, errors.get(i)) for place, i in enumerate(chosen)]
+    return spark.createDataFrame(rows, "feature string, place int, smape double")
 
 
 @query("M09_backward_stepwise")
 def _(spark, sf):
-    top = _top_positions(spark, sf, 4)
-    month = scoring.EXTRA.index("visit_month")
-    start = [month, *[i for _, i in top if i != month]]
-    kept, error = model.backward_stepwise(_score_table(spark, sf), start, _small_forest, FOLDS, [month])
-    names = {month: "visit_month", **{i: n for n, i in top}}
-    return spark.createDataFrame([(names[i], float(error)) for i in kept], "feature string, smape double")
+    names, month = vector_names(spark, sf), scoring.EXTRA.index("visit_month")
+    start = list(dict.fromkeys([month, *_stepwise(spark, sf)[0]]))
+    kept, error = forests.backward_stepwise(start, [month], _subset_errors(spark, sf, "updrs_1"))
+    return spark.createDataFrame([(names[i], error) for i in kept], "feature string, smape double")
 
 
 @query("M10_impute_score")
@@ -260,23 +282,73 @@ def _(spark, sf):
     return _rounded(auc.join(called, "target"), "auc", "accuracy", "precision", "recall", "f1")
 
 
+# Settings of the sweep: the values of each parameter in turn, the others as in the base.
+SWEEP_BASE = {"n_trees": 4, "max_depth": 4, "min_rows": 1, "subsample": 1.0, "colsample": 1.0, "pos_weight": 1.0}
+SWEEP_GRID = {
+    "max_depth": [2, 3, 4, 5, 6],
+    "min_rows": [1, 3, 5, 7, 9],
+    "pos_weight": [1.1, 1.3, 1.7, 2.0, 2.3],
+    "subsample": [0.3, 0.5, 0.7, 0.9],
+    "colsample": [0.3, 0.5, 0.7, 0.9],
+}
+
+
+def _labelled(spark, sf, target: str) -> DataFrame:
+    """First-year visits with the future class as label, features binned, written once."""
+    return _once(spark, sf, f"labelled-{target}", lambda: forests.binned(first_year(spark, sf, target), "visit_id"))
+
+
+def _forest(width: int, fold: int, s: dict) -> list[forests.Tree]:
+    """The trees of a setting, each on its own draw of the features."""
+    rng = random.Random(42)
+    n = max(1, round(s["colsample"] * width))
+    return [
+        forests.Tree(
+            tuple(sorted(rng.sample(range(width), n))), fold, seed, s["max_depth"], s["min_rows"], s["subsample"], s["pos_weight"]
+        )
+        for seed in range(s["n_trees"])
+    ]
+
+
+def _swept(data: DataFrame, width: int, settings: list[dict], folds: list[int]) -> DataFrame:
+    """(setting, kfold, label, p) of every row for every setting, out of fold; all trees grown together."""
+    trees, members, names = [], [], []
+    for i, setting in enumerate(settings):
+        for fold in folds:
+            own = _forest(width, fold, setting)
+            members.append(list(range(len(trees), len(trees) + len(own))))
+            trees += own
+            names.append(i)
+    grown = forests.grow(data, trees)
+    setting = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("forest") + 1)
+    return forests.predictions(data, grown, members).select(
+        setting.alias("setting"), F.col("fold").alias("kfold"), F.col("label").cast("int").alias("label"),
+        F.col("prediction").alias("p"), (F.col("prediction") >= 0.5).cast("int").alias("pred"),
+    )
+
+
 @query("M15_parameter_sweep")
 def _(spark, sf):
-    per_fold = model.sweep(
-        first_year(spark, sf, "updrs_2"), "forest", {"numTrees": 4, "maxDepth": 3},
-        {"maxDepth": [2, 4], "minInstancesPerNode": [1, 10], "subsamplingRate": [0.5, 0.9]}, FOLDS,
-    )
-    out = model.mean_over_folds(per_fold, ["param", "val"]).withColumn("target", F.lit("updrs_2"))
+    width = len(vector_names(spark, sf))
+    items = [(param, v) for param, values in SWEEP_GRID.items() for v in values]
+    named = spark.createDataFrame([(i, p, str(v)) for i, (p, v) in enumerate(items)], "setting int, param string, val string")
+    parts = []
+    for target in SCORED_TARGETS:
+        swept = _swept(_labelled(spark, sf, target), width, [{**SWEEP_BASE, p: v} for p, v in items], FOLDS)
+        per_fold = model.hard_metrics(swept, ["setting", "kfold"])
+        parts.append(model.mean_over_folds(per_fold, ["setting"]).withColumn("target", F.lit(target)))
+    out = model._union(parts).join(F.broadcast(named), "setting")
     return _rounded(out, *METRICS).select("target", "param", "val", *METRICS)
 
 
 @query("M16_validation_curve")
 def _(spark, sf):
-    per_fold = model.sweep(
-        first_year(spark, sf, "updrs_1"), "forest", {"numTrees": 3, "maxBins": 16},
-        {"maxDepth": list(range(1, 14))}, FOLDS[:4], parallelism=8,
-    )
-    curve = per_fold.groupBy(F.col("val").cast("int").alias("max_depth")).agg(
+    depths, quarters = list(range(1, 14)), [0, 1, 2, 3]
+    # four folds of all rows, by the rows' hash
+    data = materialize(_labelled(spark, sf, "updrs_1").withColumn("fold", F.pmod("row", F.lit(4)).cast("int")), "quarters")
+    settings = [{**SWEEP_BASE, "n_trees": 3, "max_depth": d} for d in depths]
+    swept = _swept(data, len(vector_names(spark, sf)), settings, quarters)
+    curve = evaluate.score_auc(swept, ["setting", "kfold"]).groupBy((F.col("setting") + 1).alias("max_depth")).agg(
         F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")
     )
     return _rounded(curve, "mean_auc", "std_auc")
