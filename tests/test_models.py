@@ -94,9 +94,65 @@ def test_rounding_of_imputed_scores(spark, sf):
     assert out.count() == v.count() and out.where("updrs_4 is null").count() == 0
 
 
-def test_stepwise_keeps_its_start(spark, sf):
+def test_stepwise_goes_through_every_feature(spark, sf):
+    names = plans.vector_names(spark, sf)
+    top = {r["feature"] for r in Q["M07_forest_top_features"](spark, sf).collect()}
+    rows = sorted(Q["M08_forward_stepwise"](spark, sf).collect(), key=lambda r: r["place"])
+    assert len(top) == 10 and {r["feature"] for r in rows[:10]} == top
+    assert all(r["smape"] is None for r in rows[:10])
+    taken = rows[10:]
+    errors = [r["smape"] for r in taken]
+    assert taken and errors == sorted(errors, reverse=True) and len(set(errors)) == len(errors)
+    # one by one over all positions that are left, each tried alone
+    chosen, best, error = [names.index(r["feature"]) for r in rows[:10]], float("inf"), plans._subset_errors(spark, sf, "updrs_1")
+    first = [i for i in range(len(names)) if i not in chosen][:6]
+    for i in first:
+        here = float(error([[*chosen, i]])[0])
+        if here < best:
+            best, chosen = here, [*chosen, i]
+    assert [names.index(r["feature"]) for r in taken if names.index(r["feature"]) in first] == chosen[10:]
     kept = [r["feature"] for r in Q["M09_backward_stepwise"](spark, sf).collect()]
-    assert "visit_month" in kept
+    assert "visit_month" in kept and set(kept) <= {"visit_month"} | {r["feature"] for r in rows}
+
+
+def test_sweeps_score_every_row_of_every_setting(spark, sf):
+    sweep = Q["M15_parameter_sweep"](spark, sf).toPandas()
+    assert len(sweep) == 3 * 23 and sweep.groupby(["target", "param", "val"]).size().eq(1).all()
+    assert sweep[["auc", "acc"]].stack().between(0, 1).all()
+    curve = Q["M16_validation_curve"](spark, sf).toPandas()
+    assert sorted(curve.max_depth) == list(range(1, 14)) and curve.mean_auc.between(0, 1).all()
+    data = plans._labelled(spark, sf, "updrs_1")
+    settings = [{**plans.SWEEP_BASE, "max_depth": d} for d in (1, 2)]
+    swept = plans._swept(data, len(plans.vector_names(spark, sf)), settings, plans.FOLDS)
+    assert {r["setting"]: r["count"] for r in swept.groupBy("setting").count().collect()} == {0: data.count(), 1: data.count()}
+
+
+def test_early_stopping_takes_the_least_loss(spark, sf):
+    rows = Q["M30_early_stopping"](spark, sf).toPandas().sort_values("round")
+    best = rows[rows.is_best]
+    assert len(best) == 1 and best["round"].item() == rows.n_trees.iloc[0] and best.loss.item() == rows.loss.min()
+
+
+def test_components_of_the_features(spark, sf):
+    rows = Q["M02_feature_components"](spark, sf).toPandas()
+    assert set(rows.target) == {"updrs_1", "updrs_2", "updrs_3"}
+    for _, part in rows.groupby("target"):
+        value = np.stack(part.components)
+        assert part.visit_id.is_unique and np.allclose(value.mean(0), 0, atol=1e-6)
+        cov = value.T @ value / len(value)
+        assert np.allclose(cov, np.diag(np.diag(cov)), atol=1e-6) and (np.diff(np.diag(cov)) <= 1e-9).all()
+
+
+def test_model_queries_without_an_oracle(spark, sf):
+    known = plans.stored_visits(spark, sf)
+    out = Q["M11_impute_class"](spark, sf).toPandas()
+    assert out.visit_id.is_unique and set(out.updrs_4_pred) <= {0, 1} and 0 < len(out) < known.count()
+    held = Q["M14_hold_out_fold"](spark, sf).first()
+    assert 0 <= held["auc"] <= 1
+    cv = Q["M21_regression_cv"](spark, sf).toPandas()
+    assert sorted(zip(cv.model, cv.kfold)) == [(m, f) for m in ("boosted", "forest") for f in range(5)] and (cv.mse >= 0).all()
+    base = Q["M23_logistic_baseline"](spark, sf).toPandas()
+    assert sorted(base.target) == ["updrs_1", "updrs_2", "updrs_3"] and base.acc.between(0, 1).all()
 
 
 def test_hard_auc_is_the_mean_recall(spark):

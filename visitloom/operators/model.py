@@ -111,6 +111,28 @@ def regression_cv(table: DataFrame, make: Callable[[], Estimator], folds: list[i
     return evaluate.regression_metrics(preds, ["kfold"], "label", "prediction")
 
 
+def staged_boosting(
+    train: DataFrame, validation: DataFrame, make: Callable[[int], Estimator], rounds: int = 100, patience: int = 50
+):
+    """The boosted model of the best round on ``validation``, and the loss of each round.
+
+    ``make`` builds the estimator for a number of trees. The validation loss of every
+    round counts until none of the next ``patience`` rounds is better than the best so
+    far. The best prefix of the trees is the model: boosting with one seed makes the
+    same first trees however many follow.
+    """
+    whole = make(rounds).fit(train)
+    curve = list(whole.evaluateEachIteration(validation))
+    best = 0
+    for i, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = i
+        elif i - best >= patience:
+            curve = curve[: i + 1]
+            break
+    return (whole if best + 1 == rounds else make(best + 1).fit(train)), curve
+
+
 def importances(model, names: list[str], spark) -> DataFrame:
     """(feature, importance) of a fitted forest, as long as the contract."""
     values = model.featureImportances.toArray()

@@ -6,10 +6,13 @@ visits and not from the feature rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,13 @@ from visitloom.functions.scalar import pearson, yeo_johnson
 from visitloom.operators.ranking import average_rank_cells
 from visitloom.session import materialize
 
+# Tasks carry this module's helpers with them, so workers need not import it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Columns on a side of the blocks in which a matrix is added up.
+TILE = 128
+
+
 def packed(features: DataFrame) -> DataFrame:
     """One row per sampled visit with its (feature, value) list.
 
@@ -117,18 +127,35 @@ def feature_ranks(features: DataFrame) -> DataFrame:
     )
 
 
-def matrix_from_sparse(rows: DataFrame, value: str) -> DataFrame:
-    """(feature_a, feature_b, r), a before b, of columns that are 0 where absent.
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block for each tile, the sum of its blocks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for tile, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            part = np.frombuffer(block)
+            total[tile] = total[tile] + part if tile in total else part
+    for tile, block in total.items():
+        columns = [pa.array([tile], pa.int32()), pa.array([0], pa.int32()), pa.array([block.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["tile", "part", "block"])
 
-    Each task folds its visits into one Gram matrix, with a constant column for
-    the sums and the count, and hands that on: pairs are emitted once per task
-    and not once per visit. The matrix is as wide as the contract, whose names
-    are listed on the driver.
+
+def gram(rows: DataFrame, value: str, tile: int = TILE) -> tuple[list[str], DataFrame]:
+    """The names of the columns, and (a, b, g), a <= b, of columns that are 0 where absent.
+
+    g is the sum over visits of the products of two columns; the last column is the
+    constant 1, for the sums and the count. Each task folds its visits into one matrix
+    and hands it on in blocks of ``tile`` columns, which are added up in two steps: a
+    task sends (columns / tile)^2 / 2 rows, and a block meets the square root of the
+    tasks at a time. The matrix is as wide as the contract, whose names are listed on
+    the driver.
     """
     names = [r[0] for r in rows.select("feature").distinct().orderBy("feature").collect()]
     spark = rows.sparkSession
     index = spark.createDataFrame(list(enumerate(names)), "pos int, feature string")
-    width = len(names)
+    width = len(names) + 1
+    n_tiles = -(-width // tile)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = max(1, round(parts**0.5))
     lists = (
         rows.join(F.broadcast(index), "feature")
         .groupBy("visit_id")
@@ -136,23 +163,47 @@ def matrix_from_sparse(rows: DataFrame, value: str) -> DataFrame:
         .select("pos", "val")
     )
 
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width + 1, width + 1))
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n_tiles * tile, n_tiles * tile))
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.zeros((len(batch), width + 1))
-            x[:, width] = 1.0
+            x = np.zeros((len(batch), n_tiles * tile))
+            x[:, width - 1] = 1.0
             at = np.repeat(np.arange(len(batch)), batch["pos"].map(len))
             x[at, np.concatenate(batch["pos"].to_numpy())] = np.concatenate(batch["val"].to_numpy())
             total += x.T @ x
-        if total[width, width]:
-            a, b = np.triu_indices(width + 1)
-            yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "g": total[a, b]})
+        if total[width - 1, width - 1]:
+            blocks = total.reshape(n_tiles, tile, n_tiles, tile).swapaxes(1, 2)
+            i, j = np.triu_indices(n_tiles)
+            part = TaskContext.get().partitionId() % split
+            yield pd.DataFrame({"tile": (i * n_tiles + j).astype(np.int32), "part": np.int32(part), "block": [blocks[c].tobytes() for c in zip(i, j)]})
 
-    sums = lists.mapInPandas(gram, "a int, b int, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                i, j = divmod(of, n_tiles)
+                a, b = (x.ravel() + k * tile for x, k in zip(np.indices((tile, tile)), (i, j)))
+                use = np.flatnonzero((a <= b) & (b < width))
+                columns = [pa.array(a[use].astype(np.int32)), pa.array(b[use].astype(np.int32)), pa.array(np.frombuffer(block)[use])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "g"])
+
+    schema = "tile int, part int, block binary"
+    sums = (
+        lists.mapInPandas(products, schema)
+        .repartition(parts, "tile", "part").mapInArrow(_summed, schema)
+        .repartition(parts, "tile").mapInArrow(_summed, schema)
+        .mapInArrow(cells, "a int, b int, g double")
+    )
+    return names, materialize(sums, "gram")
+
+
+def matrix_from_sparse(rows: DataFrame, value: str) -> DataFrame:
+    """(feature_a, feature_b, r), a before b, of columns that are 0 where absent."""
+    names, sums = gram(rows, value)
+    spark, width = rows.sparkSession, len(names)
+    index = spark.createDataFrame(list(enumerate(names)), "pos int, feature string")
     # from here on everything is as long as the square of the contract
-    sums = materialize(sums, "gram")
     ones = sums.where(F.col("b") == width).select("a", F.col("g").alias("s"))
     singles = sums.where((F.col("a") == F.col("b")) & (F.col("a") < width)).select(
         "a", F.col("g").alias("ss")

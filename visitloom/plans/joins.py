@@ -162,10 +162,10 @@ def _(spark, sf):
     "J11_predictions_by_month",
     ("scored",),
     """, t AS (SELECT patient_id, visit_month, target, cast(p >= 0.5 AS int) AS pred FROM scored)
-       SELECT patient_id, visit_month, a.pred AS updrs_1_pred, b.pred AS updrs_2_pred, c.pred AS updrs_3_pred
-       FROM (SELECT * FROM t WHERE target = 'updrs_1') a
-       JOIN (SELECT * FROM t WHERE target = 'updrs_2') b USING (patient_id, visit_month)
-       JOIN (SELECT * FROM t WHERE target = 'updrs_3') c USING (patient_id, visit_month)""",
+       SELECT patient_id, visit_month, max(pred) FILTER (target = 'updrs_1') AS updrs_1_pred,
+         max(pred) FILTER (target = 'updrs_2') AS updrs_2_pred, max(pred) FILTER (target = 'updrs_3') AS updrs_3_pred
+       FROM t GROUP BY patient_id, visit_month
+       HAVING updrs_1_pred IS NOT NULL AND updrs_2_pred IS NOT NULL AND updrs_3_pred IS NOT NULL""",
 )
 def _(spark, sf):
     s = scored(spark, sf).withColumn("pred", (F.col("p") >= 0.5).cast("int"))

@@ -1,7 +1,9 @@
 """Queries that fit models. They have no SQL oracle; tests check their properties."""
 
 import random
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +14,7 @@ from visitloom.config import FIRST_YEAR, N_FOLDS, SCORED_TARGETS
 from visitloom.functions.scalar import map_codes, rounded, severity, sign_flag
 from visitloom.operators import (
     balance,
+    components,
     contributions,
     evaluate,
     forests,
@@ -126,6 +129,21 @@ def _(spark, sf):
     return pcs.select("vec_id", "label", F.posexplode("components").alias("component", "value"))
 
 
+@query("M02_feature_components")
+def _(spark, sf):
+    """Components of the measured features over the sampled visits that have a target's score."""
+    feats = stored_features(spark, sf)
+    parts = []
+    for target in SCORED_TARGETS:
+        visits = stored_visits(spark, sf).where(F.col(target).isNotNull()).select("visit_id", target)
+        own = materialize(feats.join(visits.select("visit_id"), "visit_id", "left_semi").select("visit_id", "feature", "value"), "own")
+        listed = components.components(own).groupBy("visit_id").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("component", "value"))), lambda c: c["value"]).alias("components")
+        )
+        parts.append(listed.join(visits.withColumnRenamed(target, "score"), "visit_id").withColumn("target", F.lit(target)))
+    return model._union(parts).select("target", "visit_id", "score", "components")
+
+
 @query("M06_forest_selection")
 def _(spark, sf):
     names = vector_names(spark, sf)
@@ -380,13 +398,24 @@ def _(spark, sf):
 
 @query("M23_logistic_baseline")
 def _(spark, sf):
-    parts = []
-    for target in SCORED_TARGETS:
-        per_fold = model.cross_validate(
-            first_year(spark, sf, target), lambda: model.classifier("logistic", maxIter=10), FOLDS[1:]
+    """Folds 1 to 4, each held out once; fold 0 is set aside and the training folds are balanced."""
+
+    def held_out(item):
+        target, fold = item
+        data = first_year(spark, sf, target).where("kfold <> 0")
+        train = data.where(F.col("kfold") != fold).select(
+            F.col("visit_id").alias("id"), "label", vector_to_array("features").alias("vec")
         )
-        parts.append(per_fold.withColumn("target", F.lit(target)))
-    return _rounded(model.mean_over_folds(model._union(parts), ["target"]), *METRICS)
+        balanced = balance.smote(train).select("label", array_to_vector("vec").alias("features"))
+        fitted = model.classifier("logistic", maxIter=10).fit(materialize(balanced, "balanced"))
+        held = model.probability(fitted.transform(data.where(F.col("kfold") == fold)))
+        return held.select(F.lit(target).alias("target"), "kfold", "label", "pred")
+
+    items = [(target, fold) for target in SCORED_TARGETS for fold in FOLDS[1:]]
+    with ThreadPool(6) as pool:
+        preds = model._union(pool.map(inheritable_thread_target(spark)(held_out), items))
+    per_fold = model.hard_metrics(preds, ["target", "kfold"])
+    return _rounded(model.mean_over_folds(per_fold, ["target"]), *METRICS)
 
 
 @query("M27_model_save_load")
@@ -418,13 +447,20 @@ def _(spark, sf):
 
 @query("M30_early_stopping")
 def _(spark, sf):
+    """The validation loss of each round and the AUC of the best prefix of trees."""
     data = first_year(spark, sf, "updrs_1")
-    train = data.select("features", "label", (F.col("kfold") == 0).alias("is_validation"))
-    est = model.classifier("gbt", maxIter=20, maxDepth=3, validationIndicatorCol="is_validation", validationTol=0.01)
-    fitted = est.fit(train)
-    held = model.probability(fitted.transform(data.where("kfold = 0"))).withColumn("target", F.lit("updrs_1"))
-    auc = evaluate.score_auc(held, ["target"])
-    return auc.withColumn("n_trees", F.lit(fitted.getNumTrees)).withColumn("auc", rounded("auc"))
+    train = materialize(data.where("kfold <> 4").select("features", "label"), "boosted")
+    held = materialize(data.where("kfold = 4").select("features", "label"), "held-out")
+    fitted, curve = model.staged_boosting(
+        train, held, lambda n: model.classifier("gbt", maxIter=n, maxDepth=3), rounds=60, patience=50
+    )
+    n_trees = fitted.getNumTrees
+    auc = evaluate.score_auc(model.probability(fitted.transform(held)).withColumn("target", F.lit("updrs_1")), ["target"])
+    rounds = spark.createDataFrame([("updrs_1", i + 1, float(loss)) for i, loss in enumerate(curve)], "target string, round int, loss double")
+    return rounds.join(F.broadcast(auc), "target").select(
+        "target", "round", rounded("loss").alias("loss"), (F.col("round") == n_trees).alias("is_best"),
+        F.lit(n_trees).alias("n_trees"), rounded("auc").alias("auc"),
+    )
 
 
 @query("ST1_score_stream")

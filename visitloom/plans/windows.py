@@ -59,8 +59,9 @@ def _(spark, sf):
 @query(
     "W04_change_from_first",
     S,
-    """SELECT s.visit_id, s.target, s.score - b.score AS change FROM scores s
-       LEFT JOIN (SELECT patient_id, target, score FROM scores WHERE visit_month = 0) b USING (patient_id, target)""",
+    """SELECT visit_id, target,
+         score - max(CASE WHEN visit_month = 0 THEN score END) OVER (PARTITION BY patient_id, target) AS change
+       FROM scores""",
 )
 def _(spark, sf):
     return longitudinal.change_from_first(scores(spark, sf)).select("visit_id", "target", "change")
@@ -277,9 +278,9 @@ def _(spark, sf):
     "TS02_pair_deltas",
     ("scores", "proteins"),
     """, k AS (SELECT * FROM scores WHERE score IS NOT NULL AND visit_id IN (SELECT visit_id FROM proteins))
-       SELECT a.visit_id, a.patient_id, a.visit_month, a.target, a.score, b.visit_month - a.visit_month AS visit_month_diff,
-         b.score - a.score AS score_diff FROM k a JOIN k b
-       ON a.patient_id = b.patient_id AND a.target = b.target AND a.visit_month <> b.visit_month""",
+       , u AS (SELECT *, unnest(list({'m': visit_month, 's': score}) OVER (PARTITION BY patient_id, target)) AS o FROM k)
+       SELECT visit_id, patient_id, visit_month, target, score, o.m - visit_month AS visit_month_diff,
+         o.s - score AS score_diff FROM u WHERE o.m <> visit_month""",
 )
 def _(spark, sf):
     sampled = clinic.proteins(spark, sf).select("visit_id").distinct()
