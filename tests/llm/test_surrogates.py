@@ -72,6 +72,73 @@ def test_surrogates_keep_kind_format_gender_and_script(done):
     assert names["Господин Иван Петров"].split()[1] in surrogates.GIVEN["m", "cyrillic"]
 
 
+def run(spark, *texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in surrogates.replaced(df, key).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_mentions_of_one_person(spark):
+    text = "Dr Anna Smith met Mrs Anna Smith. Anna Smith, ANNA SMITH and Smith; Mrs. Smith, not smithy or Blacksmith."
+    row, other = run(spark, text, "Mrs Anna Smith again")
+    given, family = other["text"].split()[1:3]
+    assert given in surrogates.GIVEN["f", "latin"]
+    assert row["text"] == (
+        f"Dr {given} {family} met Mrs {given} {family}. {given} {family}, {given.upper()} {family.upper()} and {family}; "
+        f"Mrs. {family}, not smithy or Blacksmith."
+    )
+    assert [e["surrogate"] for e in row["entities"]] == [
+        f"Dr {given} {family}", f"Mrs {given} {family}", f"{given} {family}", f"{given.upper()} {family.upper()}", family, f"Mrs. {family}",
+    ]
+
+
+def test_two_persons_of_a_document_stay_two(spark):
+    (row,) = run(spark, "Mr John Smith and Mr Paul Jones: Mr Smith, JOHN SMITH, Jones, Mr. Jones, Mr Brown")
+    a, b = row["text"].split(": ")
+    _, john, smith, _, _, paul, jones = a.split()
+    assert len({john + smith, paul + jones}) == 2 and smith != jones
+    assert b.startswith(f"Mr {smith}, {john.upper()} {smith.upper()}, {jones}, Mr. {jones}, Mr ")
+    assert b.split()[-1] not in ("Brown", smith, jones)
+    assert not re.search("john|smith|paul|jones|brown", row["text"], re.I)
+
+
+def test_a_name_in_another_document_stays_without_its_person(spark):
+    rows = run(spark, "Herr Jörg Weiß und Weiß", "Weiß ist eine Farbe", "Herr Weiß")
+    assert rows[1]["text"] == "Weiß ist eine Farbe"
+    _, _, weiss, _, again = rows[0]["text"].split()
+    assert weiss == again and rows[2]["text"].split()[1] not in ("Weiß", weiss)
+
+
+def plainly_replaced(text, rows):
+    """The text with each entity of ``rows`` (old, new) put in place of the old, by position, in plain Python."""
+    out, at = "", 0
+    for old, new in rows:
+        start = text.index(old, at)
+        out, at = out + text[at:start] + new, start + len(old)
+    return out + text[at:]
+
+
+def test_texts_are_what_plain_replacement_makes(spark):
+    olds = ["Mr John Smith", "a@b.co", "Smith", "97.51.17.173", "Mr Smith", "JOHN SMITH", "+1 (017) 555-7713", "john smith"]
+    text = "".join(f"{i}) {old}, " for i, old in enumerate(olds))
+    (row,) = run(spark, text)
+    news = [e["surrogate"] for e in row["entities"]]
+    assert len(news) == len(olds) and row["text"] == plainly_replaced(text, list(zip(olds, news)))
+    assert news[7].lower() == news[5].lower() == news[0].lower().removeprefix("mr ")
+
+
+def test_a_used_up_form_grows(spark):
+    """Six-digit numbers of which nearly all are real: no free one of that form is left for most."""
+    rows = spark.range(90_000).selectExpr("'phone' AS kind", "concat('1', lpad(cast(id AS string), 5, '0')) AS entity")
+    table = surrogates.surrogate_table(rows.union(spark.range(10_000).selectExpr("'phone'", "cast(id AS string)")), "k")
+    assert table.select("surrogate").distinct().count() == 100_000
+    assert table.join(rows, table["surrogate"] == rows["entity"], "left_semi").isEmpty()
+    (row,) = spark.createDataFrame([("+12 34", "9876543")], "value string, s string").select(
+        surrogates.rendered(F.lit("phone"), F.col("value"), F.col("s"), F.lit(False)).alias("out")
+    ).collect()
+    assert row["out"] == "+98 76543"
+
+
 def test_the_key_decides(spark, done):
     _, got = done
     df = spark.createDataFrame([(0, got[0]["text"]), (1, "mail a@b.co")], "doc_id long, text string")

@@ -6,6 +6,11 @@ form that fits each occurrence (its punctuation, case, title and script, a given
 name of the same gender). One entity has one surrogate wherever and however it is
 written, and two entities never share one: candidates that meet each other, one
 given before or a real entity of the table are drawn again.
+
+A person is a name, whatever the title; the gender is what most titles of the name
+say. Within a document a titled family name alone is the person of that family name
+who is named in full there and not with a title of the other gender, and where a person is found, the name in full, in any
+case, and the capitalised family name are replaced without a title too.
 """
 
 from __future__ import annotations
@@ -78,7 +83,7 @@ def identity(kind: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn", "phone"), _digits(value))
         .when(kind == "iban", compact)
-        .when(kind == "person", F.concat(_gender(value), F.lit(":"), name))
+        .when(kind == "person", name)
         .otherwise(F.lower(value))
     )
 
@@ -130,7 +135,11 @@ def _check_digit(body: Column) -> Column:
 
 
 def candidate(kind: Column, entity: Column, draw: Column, key: str) -> Column:
-    """The surrogate identity of an entity at its ``draw``-th draw."""
+    """The surrogate identity of an entity at its ``draw``-th draw.
+
+    A person comes as ``gender:name``. From ``GROW_AFTER`` on digits are added, if need
+    be beyond the form, so that there is always a free one.
+    """
     digest = _digest(key, kind, entity, draw)
     longer = draw >= GROW_AFTER
     extra = F.when(longer, F.translate(F.substring(digest, 41, 6), "abcdef", "012345")).otherwise("")
@@ -142,7 +151,7 @@ def candidate(kind: Column, entity: Column, draw: Column, key: str) -> Column:
 
     n = F.length(entity)
     drawn = F.translate(F.concat(digest, F.sha2(digest, 256)), "abcdef", "012345")
-    body = F.concat(F.substring(entity, 1, 1), F.substring(drawn, F.lit(1), n - 2))
+    body = F.concat(F.substring(entity, 1, 1), F.substring(drawn, F.lit(1), n - 2), extra)
     card = F.concat(body, _check_digit(body))
     iban = F.concat(F.substring(entity, 1, 2), _redrawn(F.substring(entity, F.lit(3), n), digest))
     octets = [(_hex(digest, 1 + 2 * i, 2) % 254 + 1).cast("string") for i in range(4)]
@@ -167,16 +176,20 @@ def candidate(kind: Column, entity: Column, draw: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "card", card)
-        .when(kind == "iban", iban)
-        .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "ssn", F.substring(drawn, F.lit(1), n))
-        .when(kind == "phone", phone)
+        .when(kind == "iban", F.concat(iban, extra))
+        .when(kind == "ip", F.concat(F.concat_ws(".", *octets), extra))
+        .when(kind == "ssn", F.concat(F.substring(drawn, F.lit(1), n), extra))
+        .when(kind == "phone", F.concat(phone, extra))
         .otherwise(person)
     )
 
 
-def rendered(kind: Column, value: Column, surrogate: Column) -> Column:
-    """A surrogate identity in the form of one occurrence."""
+def _cased(name: Column, like: Column) -> Column:
+    return F.when(like == F.upper(like), F.upper(name)).otherwise(name)
+
+
+def rendered(kind: Column, value: Column, surrogate: Column, short: Column) -> Column:
+    """A surrogate identity in the form of one occurrence; ``short``: the family name only."""
     first = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def filled(of: str, taken: Column) -> Column:
@@ -189,12 +202,15 @@ def rendered(kind: Column, value: Column, surrogate: Column) -> Column:
                 F.concat(acc["out"], F.when(hit, F.substring(taken, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
             )
 
-        return F.aggregate(chars, first, put, lambda acc: acc["out"])
+        # what a grown surrogate has more than the occurrence follows it
+        return F.aggregate(
+            chars, first, put, lambda acc: F.concat(acc["out"], F.substring(taken, acc["at"], F.length(taken)))
+        )
 
     title = F.regexp_extract(value, _TITLE_PART, 1)
     name = F.substring_index(surrogate, ":", -1)
-    bare = F.regexp_replace(value, _TITLE_PART, "")
-    cased = F.when(bare == F.upper(bare), F.upper(name)).otherwise(name)
+    name = F.when(short, F.substring_index(name, " ", -1)).otherwise(name)
+    cased = _cased(name, F.regexp_replace(value, _TITLE_PART, ""))
     return (
         F.when(kind.isin("card", "ssn", "phone"), filled("[0-9]", surrogate))
         .when(kind == "iban", filled("[A-Z0-9]", surrogate))
@@ -234,6 +250,69 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
             return given
 
 
+def _persons(each: DataFrame) -> DataFrame:
+    """``entity`` of persons as ``gender:name``, and ``short`` for a family name that stands for a full one.
+
+    A titled family name is the first person of its document with that family name whose
+    title tells no other gender.
+    """
+    columns = ["at", "i", "value", "kind", "entity", "short"]
+    others = each.where("kind != 'person'").withColumn("short", F.lit(False)).select(*columns)
+    each = each.where("kind = 'person'").withColumn("told", _gender(F.col("value")))
+    in_full = F.col("entity").contains(" ")
+    whole = F.when(in_full, F.struct("i", F.col("entity").alias("name"), "told"))
+    there = F.array_sort(F.collect_list(whole).over(Window.partitionBy("at")))  # of one document
+    same = F.filter("_there", lambda p: (F.substring_index(p["name"], " ", -1) == F.col("entity")) & (
+        (p["told"] == "") | (F.col("told") == "") | (p["told"] == F.col("told"))
+    ))
+    each = each.withColumn("_there", there).withColumn("_full", F.when(~in_full, F.get(same, F.lit(0))["name"]))
+    each = each.withColumn("short", F.col("_full").isNotNull()).withColumn("entity", F.coalesce("_full", "entity"))
+    votes = each.groupBy(F.col("entity").alias("name")).agg(
+        F.count_if(F.col("told") == "m").alias("m"), F.count_if(F.col("told") == "f").alias("f")
+    )
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("")
+    voted = each.join(votes, F.col("entity") == F.col("name"))
+    return others.union(voted.withColumn("entity", F.concat(gender, F.lit(":"), "entity")).select(*columns))
+
+
+def _further_mentions(dirty: DataFrame) -> DataFrame:
+    """Text and entities of documents with persons: their names are replaced without a title too."""
+    last = lambda c: F.substring_index(c, " ", -1)
+    # a person's name in full in any case, the family name with a capital or in capitals
+    full = F.transform(F.filter("names", lambda n: n["name"].contains(" ")), lambda n: n)
+    order = lambda a, b: F.length(b["name"]) - F.length(a["name"])
+    full = F.array_sort(full, lambda a, b: F.when(order(a, b) != 0, order(a, b)).otherwise(F.when(a["name"] < b["name"], -1).otherwise(1)))
+    whole = F.transform("_full", lambda n: F.concat(F.lit("(?iu:"), n["name"], F.lit(")")))
+    family = F.flatten(F.transform("names", lambda n: F.array(F.initcap(last(n["name"])), F.upper(last(n["name"])))))
+    pattern = F.concat(
+        F.lit(r"(?<![\p{L}'’-])(?:"), F.array_join(F.concat(whole, F.array_distinct(family)), "|"), F.lit(r")(?![\p{L}’-])")
+    )
+    dirty = dirty.withColumn("_full", full).withColumn("_pattern", pattern)
+
+    def shown(value: Column) -> Column:
+        person = F.get(F.filter("names", lambda n: n["name"] == F.lower(value)), F.lit(0))
+        of_family = F.filter("names", lambda n: last(n["name"]) == F.lower(value))
+        relative = F.get(F.array_sort(of_family), F.lit(0))
+        return _cased(F.coalesce(person["shown"], last(relative["shown"])), value)
+
+    # the pieces between the entities, each with the names in it
+    cut = F.transform("between", lambda b: F.struct(
+        F.split(b, F.col("_pattern"), -1).alias("rest"),
+        F.transform(F.regexp_extract_all(b, F.col("_pattern"), F.lit(0)), shown).alias("put"),
+    ))
+    dirty = dirty.withColumn("cut", cut)
+    joined = F.transform("cut", lambda c: F.array_join(
+        F.zip_with(c["rest"], c["put"], lambda r, p: F.concat(r, F.coalesce(p, F.lit("")))), ""
+    ))
+    named = F.transform("cut", lambda c: F.transform(c["put"], lambda p: F.struct(F.lit("person").alias("kind"), p.alias("surrogate"))))
+    entity = lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))
+    return dirty.withColumn("joined", joined).withColumn("named", named).select(
+        "row",
+        F.array_join(F.zip_with("joined", "put", lambda b, p: F.concat(b, F.coalesce(p["surrogate"], F.lit("")))), "").alias("text"),
+        F.flatten(F.zip_with("named", "put", lambda n, p: F.when(p.isNull(), n).otherwise(F.concat(n, F.array(entity(p)))))).alias("entities"),
+    )
+
+
 def replaced(
     docs: DataFrame, key: str, text_col: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
@@ -251,37 +330,38 @@ def replaced(
     rows = docs.select(
         packed(docs.select(*[f"`{c}`" for c in carry]), text_col).alias("row"), text.alias("text")
     )
-    hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     kind = "array<struct<kind:string,surrogate:string>>"
-    clean = rows.where(~hit).select("row", "text", F.array().cast(kind).alias("entities"))
-
-    # the row number is written with the row, so that both readers see the same
-    found = materialize(
-        rows.where(hit).select(
-            "row",
-            F.monotonically_increasing_id().alias("at"),
-            F.split("text", ANY, -1).alias("between"),
+    # one scan for all rows; the row number is written with the row, so that all readers see the same
+    stored = materialize(
+        rows.select(
+            "row", "text", F.monotonically_increasing_id().alias("at"),
             F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"),
         ),
-        "personal",
+        "scanned",
     )
+    hit = F.coalesce(F.size("values") > 0, F.lit(False))
+    clean = stored.where(~hit).select("row", "text", F.array().cast(kind).alias("entities"))
+    found = stored.where(hit).withColumn("between", F.split("text", ANY, -1))
     each = found.select("at", F.posexplode("values").alias("i", "value"))
     each = each.withColumn("kind", kind_of(F.col("value")))
-    each = each.withColumn("entity", identity(F.col("kind"), F.col("value")))
+    each = materialize(_persons(each.withColumn("entity", identity(F.col("kind"), F.col("value")))), "found")
     table = surrogate_table(each.select("kind", "entity"), key)
+    shown = rendered(F.col("kind"), F.col("value"), F.col("surrogate"), F.col("short"))
+    name = F.when(F.col("kind") == "person", F.struct(
+        F.substring_index("entity", ":", -1).alias("name"), F.substring_index("surrogate", ":", -1).alias("shown")
+    ))
     own = (
         each.join(table, ["kind", "entity"])
-        .withColumn("shown", rendered(F.col("kind"), F.col("value"), F.col("surrogate")))
+        .select("at", F.struct("i", "kind", shown.alias("surrogate")).alias("put"), name.alias("name"))
         .groupBy("at")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "kind", "shown"))).alias("put"))
+        .agg(F.array_sort(F.collect_list("put")).alias("put"), F.collect_set("name").alias("names"))
     )
-    parts = F.zip_with(
-        "between", "put", lambda b, p: F.concat(b, F.coalesce(p["shown"], F.lit("")))
-    )
-    dirty = found.join(own, "at").select(
-        "row",
-        F.array_join(parts, "").alias("text"),
-        F.transform("put", lambda p: F.struct(p["kind"].alias("kind"), p["shown"].alias("surrogate"))).alias("entities"),
+    dirty = found.join(own, "at").select("row", "between", "put", "names")
+    named = F.size("names") > 0
+    plain = dirty.where(~named).select(
+        "row", F.array_join(F.zip_with("between", "put", lambda b, p: F.concat(b, F.coalesce(p["surrogate"], F.lit("")))), "").alias("text"),
+        F.transform("put", lambda p: F.struct(p["kind"].alias("kind"), p["surrogate"].alias("surrogate"))).alias("entities"),
     )
+    out_rows = clean.union(plain).union(_further_mentions(dirty.where(named)))
     out = [c for c in carry if c.lower() not in (text_col.lower(), "entities")]
-    return unpacked(clean.union(dirty), out, {text_col: F.col("text"), "entities": F.col("entities")})
+    return unpacked(out_rows, out, {text_col: F.col("text"), "entities": F.col("entities")})
