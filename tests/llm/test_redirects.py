@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -126,8 +127,33 @@ def test_rules_of_one_length(spark):
     rules = [("block", "com/abc"), ("allow", "b.com/a"), ("block", "b.com/a")]
     got = redirects.judged(df, rules, html_col=None).first()
     assert (got["rule"], got["verdict"]) == ("b.com/a", "allow")
-    with pytest.raises(ValueError):
-        redirects.matching_rule(F.lit("a"), F.lit("b"), [("allow", f"h{i}/") for i in range(1001)])
+
+
+def test_any_number_of_rules(spark):
+    """Looked up or compared, the rule is the same; 100,000 rules run."""
+    rng = random.Random(5)
+    labels, paths = ["a", "b", "com", "x.y", "", "é"], ["", "/", "/p", "/p/q", "/pq", "/p/q/r?", "/é"]
+    rules = list({(rng.choice(["allow", "block"]), ".".join(rng.choices(labels, k=rng.randint(1, 3))) + (rng.choice(paths) or "/")) for _ in range(400)})
+    rules = [r for r in rules if "/" in r[1]]
+    urls = [(".".join(rng.choices(labels, k=rng.randint(1, 5))), rng.choice(paths) + rng.choice(["", "z", "/q"])) for _ in range(400)]
+    many = rules + [("block", f"h{i}.org/p{i % 7}/") for i in range(100_000)]
+    urls += [(f"www.h{i}.org", f"/p{i % 7}/x") for i in range(0, 100_000, 9973)]
+    df = spark.createDataFrame(urls, "host string, path string").repartition(4)
+
+    def plain(host, path):
+        fits = [r for _, r in many if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits, key=lambda r: (len(r), r.index("/")), default=None)
+
+    rule = redirects.matching_rule(F.col("host"), F.col("path"), many)
+    got = df.withColumn("rule", rule).withColumn("action", redirects._action(F.col("rule"), many)).collect()
+    allowed = {r for a, r in many if a == "allow"}
+    sample = rng.sample(got, 150) + [r for r in got if r["host"].startswith("www.h")]
+    for r in sample:
+        want = plain(r["host"], r["path"])
+        assert r["rule"] == want and r["action"] == (None if want is None else "allow" if want in allowed else "block")
+    few = df.withColumn("rule", redirects.matching_rule(F.col("host"), F.col("path"), rules[:100]))
+    looked_up = few.withColumn("other", redirects._looked_up(F.col("host"), F.col("path"), rules[:100]))
+    assert looked_up.where("NOT (rule <=> other)").isEmpty() and not looked_up.where("rule IS NOT NULL").isEmpty()
 
 
 def test_odd_rows(spark, none):

@@ -9,6 +9,8 @@ passed on.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,10 @@ BASE_TAG = r"(?is)<base\b[^>]*>"
 ATTRIBUTE = r"""(?s)[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 # What a refresh waits, then where it goes.
 REFRESH = r"""(?is)^(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?+|url\s*=\s*)["']?([^"'\s]+)"""
-# Rules are compared one by one, in the plan.
-MOST_RULES = 1000
+# So many rules are compared one by one, in the plan; more are looked up by host.
+MOST_COMPARED = 100
+# Rules in a bucket of the table that is looked up, about.
+BUCKET_RULES = 8
 
 
 def host(url: Column) -> Column:
@@ -59,8 +63,8 @@ def address(url: Column) -> Column:
 
 def matching_rule(url_host: Column, url_path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest rule that fits, null if none; at equal length the longer host, then allow."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    if len(rules) > MOST_COMPARED:
+        return _looked_up(url_host, url_path, rules)
     first = sorted(rules, key=lambda r: (-len(r[1]), -r[1].index("/"), r[0]))
     out = F.lit(None).cast("string")
     for _, rule in reversed(first):
@@ -70,10 +74,48 @@ def matching_rule(url_host: Column, url_path: Column, rules: Sequence[tuple[str,
     return out
 
 
+def _buckets(values: dict[str, list[str]]) -> tuple[Column, int]:
+    """A constant array of maps; an entry lies in the map that the checksum of its key names."""
+    n = len(values) // BUCKET_RULES + 1
+    table: list[dict[str, list[str]]] = [{} for _ in range(n)]
+    for key, value in values.items():
+        table[zlib.crc32(key.encode()) % n][key] = value
+    return F.from_json(F.lit(json.dumps(table)), "array<map<string,array<string>>>"), n
+
+
+def _entry(buckets: tuple[Column, int], key: Column) -> Column:
+    table, n = buckets
+    place = (F.crc32(key.cast("binary")) % n).cast("int")
+    return F.coalesce(F.element_at(F.get(table, place), key), F.array().cast("array<string>"))
+
+
+def _looked_up(url_host: Column, url_path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """As ``matching_rule``, for any number of rules: those of the host and of each host above it are looked up."""
+    of_host: dict[str, list[str]] = {}
+    for rule in {r for _, r in rules}:
+        own, rest = rule.split("/", 1)
+        of_host.setdefault(own, []).append(rest)
+    buckets, labels = _buckets(of_host), F.split(url_host, r"\.", -1)
+    n = F.size(labels)
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+
+    def fitting(own: Column) -> Column:
+        rests = F.filter(_entry(buckets, own), lambda rest: url_path.startswith(F.concat(F.lit("/"), rest)))
+        return F.transform(rests, lambda rest: F.struct(
+            F.length(F.concat(own, rest)).alias("size"), F.length(own).alias("of_host"), F.concat(own, F.lit("/"), rest).alias("rule")
+        ))
+
+    return F.array_max(F.flatten(F.transform(hosts, fitting)))["rule"]
+
+
 def _action(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The action of a matched rule, null without one. An equal allow goes before a block."""
     allowed = [r for a, r in rules if a == "allow"]
-    return F.when(rule.isin(allowed), "allow").when(rule.isNotNull(), "block")
+    if len(rules) > MOST_COMPARED:
+        is_allowed = F.size(_entry(_buckets({r: [""] for r in allowed}), rule)) > 0
+    else:
+        is_allowed = rule.isin(allowed)
+    return F.when(rule.isNull(), None).when(is_allowed, "allow").otherwise("block")
 
 
 def _attribute(tag: Column, name: str) -> Column:
