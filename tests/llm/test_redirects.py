@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from visitloom.llm import redirects
