@@ -60,13 +60,15 @@ def first_of_name(
 def conform(visits: DataFrame, contract: DataFrame, features: DataFrame) -> DataFrame:
     """Long rows of every contract feature for every visit, in contract order.
 
-    Missing features become 0 and features outside the contract are dropped.
-    ``visits`` holds (visit_id, target), ``contract`` (target, pos, feature); a
-    visit's rows are packed once, so only present values are shuffled. The
-    contract is one list per target, as wide as the measured features.
+    Missing features become 0 and features outside the contract are dropped,
+    before anything is shuffled. ``visits`` holds (visit_id, target), ``contract``
+    (target, pos, feature); a visit's rows are packed once, so only present values
+    of contract features are shuffled. The contract is one list per target, as wide
+    as the measured features.
     """
     lists = contract.groupBy("target").agg(F.collect_list("feature").alias("_names"))
-    packed = features.groupBy("visit_id").agg(
+    wanted = F.broadcast(contract.select("feature").distinct())
+    packed = features.join(wanted, "feature", "left_semi").groupBy("visit_id").agg(
         F.collect_list(F.struct("feature", "value")).alias("_have")
     )
     joined = visits.join(packed, "visit_id", "left").join(F.broadcast(lists), "target")
