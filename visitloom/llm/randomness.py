@@ -2,16 +2,20 @@
 
 A token is a candidate if it is long enough. Its encoding is the smallest known
 alphabet that holds it. Under the hypothesis that its symbols are drawn evenly
-and independently from that alphabet, three tests give p-values: chi-squared for
-uniformity, runs above and below the middle, and serial correlation. The least of
-the three, corrected for their number, is the token's p. Words fail that, keys
-don't.
+and independently from that alphabet, five tests give p-values: chi-squared for
+uniformity over the symbols and over their classes (capitals, small letters, the
+rest), runs above and below the middle and runs of one class, and serial
+correlation. The least of them, corrected for their number, is the token's p. An
+alphabet of one class has three tests. Words fail that, keys don't: a short token
+has too few of each symbol to tell, but enough of each class.
 
 The threshold on p controls false discoveries, by encoding and length. Random
 tokens have evenly spread p, so twice the number above one half estimates how many
 are random in all; among those accepted at a threshold, what this doesn't explain
 is false. Each class takes the lowest threshold at which the false share stays
-within ``rate``. A length at which words pass by chance finds no such threshold.
+within ``rate``, give or take the standard error of that estimate: without it a
+class of sixty keys and no words would lose a part of them one time in five. A
+length at which words pass by chance finds no such threshold.
 Each distinct token counts once, however often it is copied. Classes with too few
 of them to tell are pooled by encoding; where that is too few as well, the
 threshold is a fixed one.
@@ -51,6 +55,16 @@ ENCODINGS = (
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
     ("any", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
+# Shares of the character classes in each alphabet: capitals, small letters, the rest.
+SHARES = tuple(
+    (
+        sum(c in _UPPER for c in alphabet) / len(alphabet),
+        sum(c in _LOWER for c in alphabet) / len(alphabet),
+        sum(c not in _UPPER + _LOWER for c in alphabet) / len(alphabet),
+    )
+    for _, alphabet in ENCODINGS
+)
+_CLASSES = (_UPPER + _LOWER, "A" * len(_UPPER) + "a" * len(_LOWER))  # the rest is what is neither
 BINS = 20
 # Distinct tokens from which on their p tell a threshold, and the threshold for fewer.
 LEAST_COUNTED = 20
@@ -147,6 +161,7 @@ def tested(tokens: Column) -> Column:
     """Array of ``start``, ``end``, ``encoding``, ``token`` (digest), ``n`` and ``p`` for an array of located tokens."""
     names = F.lit([name for name, _ in ENCODINGS])
     sets = F.lit([alphabet for _, alphabet in ENCODINGS])
+    shares = [F.lit([q[i] for q in SHARES]) for i in range(3)]
 
     def inferred(c):
         v = F.rtrim(c["value"], F.lit("="))
@@ -164,9 +179,15 @@ def tested(tokens: Column) -> Column:
             F.lit(0.0),
             lambda a, s: a + F.pow(F.length(c["v"]) - F.length(F.replace(c["v"], s, F.lit(""))), F.lit(2)),
         )
+        kinds = F.translate(c["v"], *_CLASSES)
+        held = [F.length(kinds) - F.length(F.replace(kinds, F.lit(x), F.lit(""))) for x in "Aa"]
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.element_at(names, c["which"]).alias("encoding"),
+            *[F.element_at(q, c["which"]).alias(f"q{i}") for i, q in enumerate(shares)],
+            *[h.cast("double").alias(f"c{i}") for i, h in enumerate(held)],
+            # 1 a capital, 2 a small letter, 0 the rest
+            F.transform(symbols, lambda s: F.instr(F.lit("Aa"), F.translate(s, *_CLASSES))).alias("kind"),
             F.xxhash64(c["v"]).alias("token"),
             F.length(alphabet).cast("double").alias("k"),
             F.length(c["v"]).cast("double").alias("n"),
@@ -180,8 +201,11 @@ def tested(tokens: Column) -> Column:
         high = lambda y: (y >= c["k"] / 2).cast("double")
         after = F.concat(F.slice(x, 2, n - 1), F.slice(x, 1, 1))
         changes = F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: F.abs(high(a) - high(b)))
+        kind = c["kind"]
+        stays = F.zip_with(F.slice(kind, 1, n - 1), F.slice(kind, 2, n - 1), lambda a, b: (a == b).cast("double"))
         return F.struct(
-            *[c[f].alias(f) for f in ("start", "end", "encoding", "token", "k", "n", "squares")],
+            *[c[f].alias(f) for f in (*kept, "k", "squares", "q0", "q1", "q2", "c0", "c1")],
+            total(stays).alias("stays"),
             total(x).alias("s1"),
             total(F.transform(x, lambda a: a * a)).alias("s2"),
             total(F.zip_with(x, after, lambda a, b: a * b)).alias("s11"),
@@ -189,12 +213,22 @@ def tested(tokens: Column) -> Column:
             (total(changes) + 1).alias("runs"),
         )
 
-    def scored(c):
-        n, k = c["n"], c["k"]
-        chi, df = c["squares"] * k / n - n, k - 1
+    def chi_tail(chi, df):
         # cube-root approximation of the chi-squared tail
         cube = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        p_chi = F.when(cube >= 0, _tail(cube)).otherwise(1 - _tail(-cube))
+        return F.when(cube >= 0, _tail(cube)).otherwise(1 - _tail(-cube))
+
+    def scored(c):
+        n, k = c["n"], c["k"]
+        p_chi = chi_tail(c["squares"] * k / n - n, k - 1)
+        shares = [c["q0"], c["q1"], c["q2"]]
+        held = [c["c0"], c["c1"], n - c["c0"] - c["c1"]]
+        present = sum((q > 0).cast("double") for q in shares)
+        chi_classes = sum(F.when(q > 0, h * h / (n * q)).otherwise(0.0) for q, h in zip(shares, held)) - n
+        p_classes = F.when(present > 1, chi_tail(chi_classes, F.greatest(present - 1, F.lit(1.0))))
+        same, thrice = sum(q * q for q in shares), sum(q * q * q for q in shares)
+        variance = (n - 1) * same * (1 - same) + 2 * (n - 2) * (thrice - same * same)
+        p_stays = F.when(present > 1, 2 * _tail(F.abs(c["stays"] - (n - 1) * same) / F.sqrt(variance)))
         low = n - c["n_high"]
         mean = 2 * c["n_high"] * low / n + 1
         spread = (mean - 1) * (mean - 2) / (n - 1)
@@ -204,15 +238,18 @@ def tested(tokens: Column) -> Column:
         sigma = F.sqrt(n * (n - 3) / (n + 1)) / (n - 1)
         p_serial = F.coalesce(2 * _tail(F.abs(lag + 1 / (n - 1)) / sigma), F.lit(0.0))
         return F.struct(
-            *[c[f].alias(f) for f in ("start", "end", "encoding", "token")],
-            n.cast("int").alias("n"),
-            F.least(p_chi, p_runs, p_serial).alias("least"),
+            *[c[f].alias(f) for f in kept],
+            F.when(present > 1, 5).otherwise(3).alias("tests"),
+            # of an alphabet of one class the tests over classes are null and don't count
+            F.least(p_chi, p_runs, p_serial, p_classes, p_stays).alias("least"),
         )
 
     def combined(c):
-        p = 1 - F.pow(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["least"])), F.lit(3))
-        return F.struct(*[c[f].alias(f) for f in ("start", "end", "encoding", "token", "n")], p.alias("p"))
+        p = 1 - F.pow(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), c["least"])), c["tests"])
+        out = [c[f].alias(f) for f in ("start", "end", "encoding", "token")]
+        return F.struct(*out, c["n"].cast("int").alias("n"), p.alias("p"))
 
+    kept = ("start", "end", "encoding", "token", "n")
     for stage in (inferred, counted, summed, scored, combined):
         tokens = F.transform(tokens, stage)
     return tokens
@@ -251,11 +288,16 @@ def thresholds(candidates: DataFrame, rate: float) -> dict[tuple[str, int], floa
 
 
 def _limit(bins: list[int], rate: float) -> float | None:
-    """Lowest threshold at which at most ``rate`` of the accepted are false."""
-    random = 2 * sum(bins[BINS // 2 :])
+    """Lowest threshold at which at most ``rate`` of the accepted are false.
+
+    Twice the count above one half estimates the random ones; its standard error
+    (of the count: its root) is taken in their favour.
+    """
+    high = sum(bins[BINS // 2 :])
     for b in range(1, BINS):
         accepted = sum(bins[b:])
-        if accepted and accepted - random * (1 - b / BINS) <= rate * accepted:
+        false = accepted - 2 * (high + high**0.5) * (1 - b / BINS)
+        if accepted and false <= rate * accepted:
             return b / BINS
     return None
 
