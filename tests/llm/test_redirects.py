@@ -164,3 +164,44 @@ def test_odd_rows(spark, none):
     assert [r["verdict"] for r in got.orderBy("url").collect()] == ["allow"] * 4 + ["block"] * 2 + ["allow"]
     empty = redirects.judged(none.selectExpr("doc_id as page_id", "text as url", "text as html"), URL_RULES)
     assert empty.count() == 0
+
+
+def blocked_by_search(rows, rules):
+    """Ids of blocked pages by breadth-first search over the links, in both directions."""
+    near = {}
+    for _, url, target in rows:
+        near.setdefault(url, set())
+        if target:
+            near[url].add(target)
+            near.setdefault(target, set()).add(url)
+    bad = {u for u in near if rule_of(u, rules)[1] == "block"}
+    todo = list(bad)
+    while todo:
+        for other in near[todo.pop()] - bad:
+            bad.add(other)
+            todo.append(other)
+    return {i for i, url, _ in rows if (rule_of(url, rules)[1] or ("block" if url in bad else "allow")) == "block"}
+
+
+def test_random_links_and_rules(spark):
+    by_link = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        address = [f"http://{rng.choice('abc')}.h{i % 90}.{rng.choice(['org', 'net'])}/p{i % 7}/{i}" for i in range(260)]
+        rows = [
+            (i, rng.choice(address), rng.choice(address) if rng.random() < 0.4 + seed / 10 else None) for i in range(220)
+        ]
+        rules = []
+        for _ in range(30):
+            own, rest = rng.choice(address).split("://")[1].split("/", 1)
+            own = rng.choice([own, own.split(".", 1)[1]])
+            rules.append((rng.choice(["block", "allow"]), f"{own}/{rest[: rng.choice([0, 3, 99])]}"))
+        rules = list({rule: (action, rule) for action, rule in rules}.values())
+        tags = ['<link rel=canonical href="{}">', '<meta http-equiv="refresh" content="0;url={}">']
+        pages = [(i, url, target and page(target, rng.choice(tags))) for i, url, target in rows]
+        df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+        got = {r["page_id"] for r in redirects.judged(df, rules).where("verdict = 'block'").collect()}
+        wanted = blocked_by_search(rows, rules)
+        assert got == wanted and 0 < len(wanted) < len(rows)
+        by_link += sum(rule_of(rows[i][1], rules)[1] is None for i in wanted)
+    assert by_link > 20
