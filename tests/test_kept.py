@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitloom.operators import sketches
+from visitloom.plans import models
 from visitloom.plans.kept import bucketed_totals
 from visitloom.sources import layout
 from visitloom.streaming import baseline
@@ -163,3 +164,15 @@ def test_a_bucket_is_one_file_and_tables_are_not_overwritten(spark):
 def test_bucket_counts_divide_each_other():
     counts = [layout.buckets_for(n) for n in (0, 1, 1 << 28, (1 << 28) + 1, 10 << 30, 100 << 40)]
     assert counts == [1, 1, 1, 2, 64, 1 << 19]
+
+
+def test_rewritten_tables_are_read_anew(spark):
+    folder = tempfile.mkdtemp(prefix="tables-")
+    count = lambda: spark.read.parquet(f"{folder}/t.parquet").count()
+    spark.range(5).write.parquet(f"{folder}/t.parquet")
+    assert [models._once(spark, folder, "n", count) for _ in range(2)] == [5, 5]
+    assert models._once(spark, folder, "n", lambda: 1 / 0) == 5
+    spark.range(7).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert models._once(spark, folder, "n", count) == 7
+    spark.range(1).write.parquet(f"{folder}/u.parquet")
+    assert models._once(spark, folder, "n", lambda: "again") == "again"

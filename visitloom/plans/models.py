@@ -30,20 +30,23 @@ from visitloom.plans.frames import scores
 from visitloom.plans.registry import query
 from visitloom.session import fresh_path, materialize
 from visitloom.sources import clinic, contract, records
-from visitloom.sources.files import table
+from visitloom.sources.files import table, version
 from visitloom.streaming import score as stream
 
 FOLDS = list(range(N_FOLDS))
 FOREST = {"numTrees": 8, "maxDepth": 4}
-_WRITTEN: dict[tuple, object] = {}
+_WRITTEN: dict[tuple, tuple] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build):
-    """A table or model of this session that several queries start from."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = build()
-    return _WRITTEN[key]
+    """A table or model of this session that several queries start from.
+
+    It is built anew where the given tables have been rewritten since.
+    """
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), version(spark, sf_dir)
+    if key not in _WRITTEN or _WRITTEN[key][0] != now:
+        _WRITTEN[key] = now, build()
+    return _WRITTEN[key][1]
 
 
 def stored_features(spark, sf) -> DataFrame:

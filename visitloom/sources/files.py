@@ -58,6 +58,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What changes when the tables of a folder are rewritten: times, total length, number of files.
+
+    Asked of the file system in a call a table and one for the folder, without reading data.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(sf_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    times = sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.globStatus(path(f"{sf_dir}/*.parquet")))
+    whole = fs.getContentSummary(path(sf_dir))
+    return (*times, whole.getLength(), whole.getFileCount())
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; an empty field is NULL, a malformed row fails."""
     return (
