@@ -30,3 +30,12 @@ def test_components_are_made_where_the_values_are(spark):
     got = {r.visit_id: r.components for r in made.collect()}
     dense = pd.DataFrame(rows).pivot(index=0, columns=1, values=2).fillna(0.0)
     assert all(np.allclose(got[v], dense.loc[v].to_numpy() @ loadings - constant) for v in dense.index)
+
+
+def test_vectors_of_few_values_are_sparse(spark):
+    names = spark.createDataFrame([(i, f"f{i:03d}") for i in range(100)], "pos int, feature string")
+    feats = spark.createDataFrame([("a", "f005", 2.0), ("a", "f090", 3.0)], "visit_id string, feature string, value double")
+    visits = spark.createDataFrame([("a", 4), ("b", 0)], "visit_id string, visit_month int")
+    got = {r.visit_id: r.features for r in vectors.feature_vectors(visits, feats, names, ["visit_month"]).collect()}
+    assert got["a"] == SparseVector(101, {0: 4.0, 6: 2.0, 91: 3.0}) and isinstance(got["a"], SparseVector)
+    assert got["b"].size == 101 and not got["b"].toArray().any()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ def feature_vectors(
     The contract is an allow-list (pos, feature): ids, labels, folds and raw
     scores cannot enter. Features outside it are dropped, missing ones are 0.
     Only present values are shuffled. The contract is as short as the number of
-    measured features, so its lookup is broadcast.
+    measured features, so its lookup is broadcast. A vector is sparse where that is
+    the smaller form, as it is stored, shuffled and cached by what fits models on it.
     """
     width = F.broadcast(contract.agg(F.count(F.lit(1)).cast("int").alias("_width")).withColumn("_j", F.lit(1)))
     listed = features.join(F.broadcast(contract.select("pos", "feature")), "feature")
@@ -49,4 +51,7 @@ def feature_vectors(
         F.array(*[F.col(c).cast("double") for c in extra]) if extra else F.array().cast("array<double>"),
         dense(F.col("_kv"), F.col("_width")),
     )
-    return values.withColumn(out, array_to_vector(whole)).drop("_kv", "_width", "_j")
+    # the size is given, so that the assembler need not read a row to learn it
+    sized = {"ml_attr": {"num_attrs": len(extra) + contract.count()}}
+    full = values.select(*rows.columns, array_to_vector(whole).alias("_dense", metadata=sized))
+    return VectorAssembler(inputCols=["_dense"], outputCol=out).transform(full).drop("_dense")
