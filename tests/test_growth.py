@@ -39,3 +39,23 @@ def test_vectors_of_few_values_are_sparse(spark):
     got = {r.visit_id: r.features for r in vectors.feature_vectors(visits, feats, names, ["visit_month"]).collect()}
     assert got["a"] == SparseVector(101, {0: 4.0, 6: 2.0, 91: 3.0}) and isinstance(got["a"], SparseVector)
     assert got["b"].size == 101 and not got["b"].toArray().any()
+
+
+def test_trees_that_are_alike_share_histograms(spark):
+    """Depths and least rows of one draw are one tree until their splits differ."""
+    trees = [Tree((0, 1, 2), 0, 1, max_depth=d, min_rows=m) for d in range(1, 14) for m in (1, 2)]
+    trees += [Tree((0, 1, 2), 0, 2, max_depth=3)]
+    empty = Grown(trees, np.full((27, 3), -1, np.int32), np.zeros((27, 3), np.int32), np.zeros((27, 3)))
+    assert [len(c.trees) for c in forests._level(empty, 0, 4)] == [26, 1]
+
+
+def test_deep_levels_send_cells_with_rows_only(spark):
+    rng = np.random.default_rng(2)
+    bins = np.zeros((300, 40), np.uint8)
+    bins[np.arange(300), rng.integers(0, 40, 300)] = 3
+    rows = [(int(i), int(i % 3), float(i % 2), bytearray(b.tobytes())) for i, b in enumerate(bins)]
+    table = spark.createDataFrame(rows, "row long, fold int, label double, bins binary").coalesce(1)
+    one = Grown([Tree(tuple(range(40)), 0)], np.full((1, 15), -1, np.int32), np.zeros((1, 15), np.int32), np.zeros((1, 15)))
+    chunks, usual = forests._level(one, 0, 16), forests._usual_bins(table, 16)
+    sent = table.mapInArrow(forests._histograms(one, chunks, 0, 16, usual), "chunk int, cells binary, sums binary").collect()
+    assert not usual.any() and [len(r.cells) // 4 for r in sent] == [41]
