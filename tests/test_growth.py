@@ -59,3 +59,42 @@ def test_deep_levels_send_cells_with_rows_only(spark):
     chunks, usual = forests._level(one, 0, 16), forests._usual_bins(table, 16)
     sent = table.mapInArrow(forests._histograms(one, chunks, 0, 16, usual), "chunk int, cells binary, sums binary").collect()
     assert not usual.any() and [len(r.cells) // 4 for r in sent] == [41]
+
+
+class _State:
+    """Stands for a bucket's state."""
+
+    def __init__(self):
+        self.kept, self.now, self.hasTimedOut, self.limit = None, 1000, False, None
+
+    exists = property(lambda self: self.kept is not None)
+    get = property(lambda self: self.kept)
+
+    def update(self, kept):
+        self.kept = kept
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.limit = self.now + ms
+
+
+def test_patients_of_a_bucket_are_served_in_one_call():
+    """A call for each patient cost milliseconds; limits of patients that sent nothing still count."""
+    state, t = _State(), ("updrs_1",)
+
+    def send(*rows):
+        frame = pd.DataFrame(rows, columns=["visit_id", "patient_id", "visit_month", "scores"])
+        got = [tuple(None if pd.isna(x) else x for x in r) for out in baseline._advance((0,), iter([frame]), state, t, 500) for r in out.itertuples(index=False)]
+        return sorted((p, m, c) for _, p, m, _, c in got)
+
+    assert send(("1_0", 1, 0, [5]), ("1_2", 1, 2, [8]), ("2_3", 2, 3, [4]), ("1_2", 1, 2, [9])) == [(1, 0, 0), (1, 2, 3)]
+    assert state.limit == 1500
+    state.now = 1400
+    assert send(("3_0", 3, 0, [1]), ("1_4", 1, 4, [None])) == [(1, 4, None), (3, 0, 0)]
+    state.now = 1600
+    assert send(("3_1", 3, 1, [7])) == [(2, 3, None), (3, 1, 6)]
+    state.now = 1700
+    assert send(("2_3", 2, 3, [4]), ("2_0", 2, 0, [1]), ("2_5", 2, 5, [2])) == [(2, 0, 0), (2, 5, 1)]
+    assert set(json.loads(state.kept[0])) == {"1", "2", "3"}

@@ -80,8 +80,11 @@ def _(spark, sf):
     )
     # every record twice, the two apart and out of order
     copies = sent.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    dealt = copies.withColumn("_file", F.xxhash64("visit_id", "_copy")).repartition(8, "_file")
+    n_files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = copies.withColumn("_file", F.xxhash64("visit_id", "_copy")).repartition(n_files, "_file")
     dealt.sortWithinPartitions("_file").select("record").write.text(arriving)
-    stream = baseline.changes(baseline.arriving_scores(spark, arriving, TARGETS, files=3), TARGETS, wait_ms=86_400_000)
+    # three batches, however many files
+    visits = baseline.arriving_scores(spark, arriving, TARGETS, files=-(-3 * n_files // 8))
+    stream = baseline.changes(visits, TARGETS, wait_ms=86_400_000)
     baseline.run_available(stream, sink, checkpoint)
     return spark.read.schema(baseline.CHANGES).parquet(sink).select("visit_id", "target", "change")

@@ -2,7 +2,8 @@
 
 A patient's state is the month-0 scores, the months already seen and the visits
 that still wait for month 0. It is bounded by the calendar, however many records
-arrive, since a record sent again adds nothing.
+arrive, since a record sent again adds nothing. The patients of a bucket are kept
+together, as a call for each patient costs far more than its records do.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from visitloom.sources import records
 from visitloom.streaming import score
 
+# Fixed for the life of a checkpoint. A bucket's state grows with its patients.
+BUCKETS = 2_048
 CHANGES = "visit_id string, patient_id bigint, visit_month int, target string, change int"
 
 
@@ -46,7 +49,8 @@ def changes(visits: DataFrame, targets: tuple[str, ...], wait_ms: int) -> DataFr
     late serves those only. Of a month sent more than once the first that is read
     counts. A missing score, or none in month 0, gives a NULL change.
     """
-    return visits.groupBy("patient_id").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("patient_id"), F.lit(BUCKETS)).cast("int")
+    return visits.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
         partial(_advance, targets=targets, wait_ms=wait_ms),
         outputStructType=CHANGES,
         stateStructType="memory string",
@@ -58,44 +62,54 @@ def changes(visits: DataFrame, targets: tuple[str, ...], wait_ms: int) -> DataFr
 def _advance(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, targets: tuple[str, ...], wait_ms: int
 ) -> Iterator[pd.DataFrame]:
-    memory = json.loads(state.get[0]) if state.exists else {"base": None, "seen": [], "held": [], "since": None}
-    if state.hasTimedOut:
-        ready, memory["held"], memory["since"] = memory["held"], [], None
-        unknown = [None] * len(targets)
-        yield _rows(key[0], ready, unknown, targets)
-        state.update((json.dumps(memory),))
-        return
-    seen, ready = set(memory["seen"]), memory["held"]
-    for batch in batches:
-        for visit_id, month, scores in zip(batch["visit_id"], batch["visit_month"], batch["scores"]):
-            if month in seen:
-                continue
-            seen.add(int(month))
-            scores = [None if pd.isna(s) else int(s) for s in scores]
-            ready.append([visit_id, int(month), scores])
-            if month == 0:
-                memory["base"] = scores
-    memory["seen"] = sorted(seen)
-    if memory["base"] is not None:
-        memory["held"], memory["since"] = [], None
-        yield _rows(key[0], ready, memory["base"], targets)
-    else:
-        now = state.getCurrentProcessingTimeMs()
-        memory["held"], memory["since"] = ready, memory["since"] if ready and memory["since"] else now
-    state.update((json.dumps(memory),))
-    if memory["held"]:
-        # the time limit starts with the first visit held, not with the last record
-        state.setTimeoutDuration(max(1, memory["since"] + wait_ms - state.getCurrentProcessingTimeMs()))
-
-
-def _rows(patient: int, visits: list, base: list, targets: tuple[str, ...]) -> pd.DataFrame:
-    rows = [
+    """The patients of a bucket. Those whose time limit has passed and that sent nothing are served too."""
+    kept = json.loads(state.get[0]) if state.exists else {}
+    now, met, rows = state.getCurrentProcessingTimeMs(), {}, []
+    if not state.hasTimedOut:
+        for batch in batches:
+            for patient, visit_id, month, scores in zip(batch["patient_id"], batch["visit_id"], batch["visit_month"], batch["scores"]):
+                if patient not in met:
+                    memory = kept.setdefault(str(patient), {"base": None, "seen": [], "held": [], "since": None})
+                    met[patient] = memory, set(memory["seen"]), memory["held"]
+                memory, seen, ready = met[patient]
+                if month in seen:
+                    continue
+                seen.add(int(month))
+                scores = [None if s is None or s != s else int(s) for s in scores]
+                ready.append([visit_id, int(month), scores])
+                if month == 0:
+                    memory["base"] = scores
+    for patient, (memory, seen, ready) in met.items():
+        memory["seen"] = sorted(seen)
+        if memory["base"] is not None:
+            memory["held"], memory["since"] = [], None
+            rows += _rows(int(patient), ready, memory["base"], targets)
+        elif ready:
+            # the time limit starts with the first visit held, not with the last record
+            memory["since"] = memory["since"] or now
+    unknown, waiting = [None] * len(targets), []
+    for patient, memory in kept.items():
+        if not memory["held"]:
+            continue
+        if memory["since"] + wait_ms < now and int(patient) not in met:
+            rows += _rows(int(patient), memory["held"], unknown, targets)
+            memory["held"], memory["since"] = [], None
+        else:
+            waiting.append(memory["since"])
+    if rows:
+        out = pd.DataFrame(rows, columns=["visit_id", "patient_id", "visit_month", "target", "change"])
+        yield out.astype({"patient_id": "int64", "visit_month": "int32", "change": "Int32"})
+    state.update((json.dumps(kept),))
+    if waiting:
+        state.setTimeoutDuration(max(1, min(waiting) + wait_ms - now))
+
+
+def _rows(patient: int, visits: list, base: list, targets: tuple[str, ...]) -> list[tuple]:
+    return [
         (visit_id, patient, month, t, None if s is None or b is None else s - b)
         for visit_id, month, scores in visits
         for t, s, b in zip(targets, scores, base)
     ]
-    out = pd.DataFrame(rows, columns=["visit_id", "patient_id", "visit_month", "target", "change"])
-    return out.astype({"patient_id": "int64", "visit_month": "int32", "change": "Int32"})
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
