@@ -98,3 +98,10 @@ def test_patients_of_a_bucket_are_served_in_one_call():
     state.now = 1700
     assert send(("2_3", 2, 3, [4]), ("2_0", 2, 0, [1]), ("2_5", 2, 5, [2])) == [(2, 0, 0), (2, 5, 1)]
     assert set(json.loads(state.kept[0])) == {"1", "2", "3"}
+
+
+def test_pivot_meets_once(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "z", 3.0), ("b", None, 2.0)], "v string, f string, value double")
+    wide = shape.pivot_unique(df, ["v"], "f", "value", ["x", "y"])
+    assert sorted(map(tuple, wide.collect())) == [("a", 1.0, None), ("b", None, None)]
+    assert _plan(wide).count("Exchange hashpartitioning") == 1

@@ -38,14 +38,20 @@ def pivot_unique(
     """Wide frame with one column per name in ``names``.
 
     The name list is given, so no pass over the data collects it. Two rows for
-    one cell are an error, as in a strict pivot.
+    one cell are an error, as in a strict pivot. The cells of a row meet once, as a
+    list, so what a task holds is cells that are there and not rows times names.
     """
-    one = F.when(
-        F.count(F.lit(1)) > 1,
-        F.raise_error(F.concat(F.lit(f"duplicate {column} for {index}: "), F.max(column))),
-    ).otherwise(F.first(value, ignorenulls=True))
-    cells = df.groupBy(*index, column).agg(one.alias("_cell"))
-    return cells.groupBy(*index).pivot(column, names).agg(F.first("_cell", ignorenulls=True))
+    cell = F.struct(F.col(column).alias("name"), F.col(value).alias("value"))
+    lists = df.groupBy(*index).agg(F.collect_list(cell).alias("_cells"))
+    found = F.col("_cells")["name"]
+    twice = F.raise_error(F.concat(F.lit(f"duplicate {column} for {index}: "), F.array_max(found)))
+    checked = F.when(F.size(F.array_distinct(found)) < F.size(found), twice).otherwise(F.col("_cells"))
+
+    def value_of(name: str):
+        own = F.filter("_cells", lambda c: c["name"] == F.lit(name))
+        return F.get(own, F.lit(0))["value"].alias(name)
+
+    return lists.withColumn("_cells", checked).select(*index, *[value_of(n) for n in names])
 
 
 def first_of_name(
