@@ -105,3 +105,21 @@ def test_pivot_meets_once(spark):
     wide = shape.pivot_unique(df, ["v"], "f", "value", ["x", "y"])
     assert sorted(map(tuple, wide.collect())) == [("a", 1.0, None), ("b", None, None)]
     assert _plan(wide).count("Exchange hashpartitioning") == 1
+
+
+def test_early_lines_are_those_of_early_visits(spark, tmp_path):
+    """Lines of later visits are dropped before they are joined; the rows are the same."""
+    orders = [(k, k % 7, "F", 10.0 * k, f"{1995 + k % 4}-{k % 12 + 1:02d}-03") for k in range(60)] + [(90, None, "O", 1.0, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, d string").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "cast(d as timestamp) AS o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, k % 5, 3.0 + k, 100.0 * k) for k in range(60)] * 2 + [(90, 1, 1.0, 1.0), (None, 1, 1.0, 1.0), (3, None, 1.0, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"b{i % 3}", f"t{i}") for i in range(5)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    month = "cast(split(visit_id, '_')[1] AS int) <= 12"
+    for early, whole in (
+        (clinic.features(spark, str(tmp_path), 12), clinic.features(spark, str(tmp_path))),
+        (clinic.proteins(spark, str(tmp_path), 12), clinic.proteins(spark, str(tmp_path))),
+    ):
+        want = sorted(map(tuple, whole.where(month).collect()))
+        assert want and len(want) < whole.count() and sorted(map(tuple, early.collect())) == want

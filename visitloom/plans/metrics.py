@@ -339,6 +339,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     early = clinic.visits(spark, sf).where(F.col("visit_month") <= FIRST_YEAR).select("visit_id")
-    return clinic.features(spark, sf).join(early, "visit_id", "left_semi").select("visit_id", "feature", "value")
+    feats = clinic.features(spark, sf, FIRST_YEAR)
+    return feats.join(early, "visit_id", "left_semi").select("visit_id", "feature", "value")
 
 

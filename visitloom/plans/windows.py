@@ -339,7 +339,7 @@ def _(spark, sf):
          max_value, min_value FROM d JOIN raw USING (patient_id, feature)""",
 )
 def _(spark, sf):
-    p = clinic.proteins(spark, sf).where("visit_month <= 24")
+    p = clinic.proteins(spark, sf, 24).where("visit_month <= 24")
     f = p.select("patient_id", "visit_id", F.col("UniProt").alias("feature"), F.col("NPX").alias("value"))
     raw = cohort.feature_range(f, p.select("patient_id", "visit_id").distinct())
     e = longitudinal.delta_extremes(_deltas(spark, sf)).select(

@@ -74,8 +74,16 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their patient, month, brand and type; amounts in hundredths."""
+def _first_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).groupBy("patient_id").agg(F.min("_ym").alias("_first"))
+
+
+def _sample_lines(spark: SparkSession, sf_dir: str, last_month: int | None = None) -> DataFrame:
+    """Line items with their patient, month, brand and type; amounts in hundredths.
+
+    With ``last_month`` only those of visits up to it: the orders are the smallest
+    table that says so, and the other lines are dropped by the first join.
+    """
     orders = _orders(spark, sf_dir).select("o_orderkey", "patient_id", "_ym")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
@@ -84,7 +92,10 @@ def _sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents("l_quantity").alias("quantity"),
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return lines.join(parts, "p_partkey").join(orders, "o_orderkey")
+    if last_month is None:
+        return lines.join(parts, "p_partkey").join(orders, "o_orderkey")
+    early = orders.join(_first_months(spark, sf_dir), "patient_id").where(F.col("_ym") - F.col("_first") <= last_month)
+    return lines.join(early.drop("_first"), "o_orderkey").join(parts, "p_partkey")
 
 
 def _with_visit(sums: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,17 +104,16 @@ def _with_visit(sums: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     ``sums`` is aggregated by patient, calendar month and feature, so a patient
     has at most months x features rows here and the join cannot be skewed.
     """
-    first = _orders(spark, sf_dir).groupBy("patient_id").agg(F.min("_ym").alias("_first"))
-    dated = sums.join(first, "patient_id").withColumn(
+    dated = sums.join(_first_months(spark, sf_dir), "patient_id").withColumn(
         "visit_month", (F.col("_ym") - F.col("_first")).cast("int")
     )
     return dated.withColumn("visit_id", _visit_id()).drop("_ym", "_first")
 
 
-def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long protein table, one row per (visit, protein)."""
+def proteins(spark: SparkSession, sf_dir: str, last_month: int | None = None) -> DataFrame:
+    """Long protein table, one row per (visit, protein), of all visits or those up to a month."""
     sums = (
-        _sample_lines(spark, sf_dir)
+        _sample_lines(spark, sf_dir, last_month)
         .groupBy("patient_id", "_ym", F.col("p_brand").alias("UniProt"))
         .agg(from_cents(F.sum("price")).alias("NPX"))
     )
@@ -136,8 +146,8 @@ def protein_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long feature frame (visit_id, kind, feature, value) of both kinds.
+def features(spark: SparkSession, sf_dir: str, last_month: int | None = None) -> DataFrame:
+    """Long feature frame (visit_id, kind, feature, value) of both kinds, of all visits or those up to a month.
 
     Each line item gives its protein and its peptide row and one aggregate sums
     both, so the lines are read, joined and shuffled once. Both kinds come from
@@ -157,7 +167,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     sums = (
-        _sample_lines(spark, sf_dir)
+        _sample_lines(spark, sf_dir, last_month)
         .select("patient_id", "_ym", F.inline(both))
         .groupBy("patient_id", "_ym", "kind", "feature")
         .agg(from_cents(F.sum("amount")).alias("value"))
