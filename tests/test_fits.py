@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from visitloom.operators import contributions, model, neighbors
+from visitloom.operators import contributions, model, neighbors, vectors
 from visitloom.plans import models as plans
 
 
@@ -73,3 +74,11 @@ def test_vectors_are_as_an_assembler_makes_them(spark, sf):
         assert np.array_equal(r.features.toArray(), np.array(r.x))
         n = np.count_nonzero(r.x)
         assert (type(r.features).__name__ == "SparseVector") == (1.5 * (n + 1) < len(r.x))
+
+
+def test_a_null_value_is_refused(spark):
+    visits = spark.createDataFrame([("v0",)], "visit_id string")
+    feats = spark.createDataFrame([("v0", "a", None)], "visit_id string, feature string, value double")
+    names = spark.createDataFrame([(0, "a")], "pos int, feature string")
+    with pytest.raises(Exception, match="NULL value"):
+        vectors.feature_vectors(visits, feats, names, []).collect()

@@ -54,7 +54,11 @@ def feature_vectors(
     n = len(extra)
     first = [F.struct(F.lit(i).alias("pos"), F.col(c).cast("double").alias("value")) for i, c in enumerate(extra)]
     moved = F.transform("_kv", lambda s: F.struct((s["pos"] + n).alias("pos"), s["value"].alias("value")))
-    cells = F.filter(F.concat(F.array(*first), moved) if extra else moved, lambda s: s["value"] != 0)
+    unknown = F.raise_error(F.lit("NULL value in a feature vector"))
+    cells = F.filter(
+        F.concat(F.array(*first), moved) if extra else moved,
+        lambda s: F.when(s["value"].isNull(), unknown).otherwise(s["value"] != 0),
+    )
     listed = values.withColumn("_cells", cells).withColumn("_size", F.col("_width") + n)
     # as Vector.compressed decides it
     sparse = 1.5 * (F.size("_cells") + 1) < F.col("_size")

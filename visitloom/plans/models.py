@@ -92,7 +92,12 @@ def _vectors(spark, sf, rows: DataFrame, feats: DataFrame) -> DataFrame:
 
 def visit_vectors(spark, sf) -> DataFrame:
     """Sampled visits with their vector and scores."""
-    return _once(spark, sf, "vectors", lambda: _vectors(spark, sf, sampled_visits(spark, sf), stored_features(spark, sf)))
+
+    def build():
+        feats = stored_features(spark, sf)
+        return _vectors(spark, sf, training.sampled_visits(stored_visits(spark, sf), feats), feats)
+
+    return _once(spark, sf, "vectors", build)
 
 
 def early_vectors(spark, sf) -> DataFrame:
