@@ -83,10 +83,8 @@ def _(spark, sf):
 
 def with_squares(f):
     """Features and their squares, a frame with strongly related columns."""
-    squares = f.select(
-        "visit_id", F.concat("feature", F.lit("^2")).alias("feature"), (F.col("value") * F.col("value")).alias("value")
-    )
-    return f.select("visit_id", "feature", "value").unionByName(squares)
+    square = F.struct(F.concat("feature", F.lit("^2")).alias("feature"), (F.col("value") * F.col("value")).alias("value"))
+    return f.select("visit_id", F.inline(F.array(F.struct("feature", "value"), square)))
 
 
 @query(
