@@ -4,10 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import functions as F
 
-from visitloom.operators import contributions, model, neighbors, vectors
+from visitloom.operators import balance, contributions, forests, model, neighbors, scoring, vectors
 from visitloom.plans import models as plans
+from visitloom.sources import records
 
 
 def test_points_are_sent_as_bytes(spark, monkeypatch):
@@ -82,3 +84,58 @@ def test_a_null_value_is_refused(spark):
     names = spark.createDataFrame([(0, "a")], "pos int, feature string")
     with pytest.raises(Exception, match="NULL value"):
         vectors.feature_vectors(visits, feats, names, []).collect()
+
+
+def _wide_points(n=400, width=300):
+    """Points with some large columns and many small ones, a few of them copies."""
+    rng = np.random.default_rng(12)
+    x = np.where(rng.uniform(size=(n, width)) < 0.03, rng.integers(1, 9, size=(n, width)), 0).astype(float)
+    x[:, :5] = rng.uniform(1_000, 2_000, size=(n, 5))
+    x[-20:] = x[0]
+    return x
+
+
+@pytest.mark.parametrize("most", [500, 60])  # one block, and a tree of cells
+def test_one_search_serves_all_folds(spark, monkeypatch, most):
+    x, made = _wide_points(), []
+    # the module's helpers travel to the tasks, and so does this bound
+    monkeypatch.setattr(neighbors, "SOME_POINTS", 64)
+    assert isinstance(neighbors._block(neighbors.packed_rows(x)), neighbors._Wide)
+    fold = np.arange(len(x)) % 4
+    df = spark.createDataFrame(
+        pd.DataFrame({"grp": 0, "id": np.arange(len(x)), "vec": list(x), "tag": fold}), "grp int, id bigint, vec array<double>, tag int"
+    )
+    search = neighbors._search
+    monkeypatch.setattr(neighbors, "_search", lambda *a: made.append(1) or search(*a))
+    got = neighbors.nearest_neighbors(df, 4, 4, most, [0, 1, 2, 3]).toPandas().sort_values(["held", "id", "place"])
+    assert len(made) <= 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for f in range(4):
+        some, mine = np.flatnonzero(fold != f), got[got.held == f]
+        assert mine.id.tolist() == np.repeat(some, 4).tolist() and not (mine.neighbor.to_numpy() % 4 == f).any()
+        assert np.allclose(mine.dist.to_numpy().reshape(-1, 4), np.sort(d[np.ix_(some, some)], 1)[:, :4], atol=1e-6)
+
+
+def test_balanced_vectors_stay_sparse(spark):
+    """The same rows as from arrays, and those of the folds as those of a run of its own."""
+    x = _wide_points(120)
+    pdf = pd.DataFrame({"id": [f"v{i}" for i in range(120)], "label": np.r_[[1.0] * 35, [0.0] * 85], "kfold": np.arange(120) % 3, "vec": list(x)})
+    arrays = spark.createDataFrame(pdf, "id string, label double, kfold int, vec array<double>")
+    sparse = vectors_of(spark, arrays)
+    want = balance.smote(arrays).toPandas().set_index("id").sort_index()
+    out = balance.smote(sparse)
+    got = out.toPandas().set_index("id").sort_index()
+    assert got.index.tolist() == want.index.tolist() and got.neighbor_id.tolist() == want.neighbor_id.tolist()
+    assert np.allclose(np.stack([v.toArray() for v in got.vec]), np.stack(want.vec))
+    assert all(isinstance(v, SparseVector) for v in got.vec)
+    for f, part in zip((0, 2), balance.smote_folds(sparse, "kfold", [0, 2])):
+        own = balance.smote(sparse.where(F.col("kfold") != f)).toPandas().sort_values("id")
+        part = part.toPandas().sort_values("id")
+        assert part.id.tolist() == own.id.tolist() and part.neighbor_id.tolist() == own.neighbor_id.tolist()
+        assert np.allclose(np.stack([v.toArray() for v in part.vec]), np.stack([v.toArray() for v in own.vec]))
+
+
+def vectors_of(spark, arrays):
+    rows = [(*r[:-1], Vectors.sparse(len(r[-1]), [(i, v) for i, v in enumerate(r[-1]) if v])) for r in arrays.collect()]
+    return spark.createDataFrame(rows, arrays.drop("vec").schema.add("vec", VectorUDT()))
