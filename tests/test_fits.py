@@ -139,3 +139,27 @@ def test_balanced_vectors_stay_sparse(spark):
 def vectors_of(spark, arrays):
     rows = [(*r[:-1], Vectors.sparse(len(r[-1]), [(i, v) for i, v in enumerate(r[-1]) if v])) for r in arrays.collect()]
     return spark.createDataFrame(rows, arrays.drop("vec").schema.add("vec", VectorUDT()))
+
+
+def test_records_are_read_by_the_names_they_have(spark):
+    """Names that come twice in the contract or the record, no numbers, other kinds, and no month."""
+    contract = spark.createDataFrame(
+        [(0, "a", "protein"), (1, "b", "peptide"), (2, "c", "protein"), (2, "c", "peptide"), (3, "d", None)], "pos int, feature string, kind string"
+    )
+
+    def read(*lines):
+        df = spark.createDataFrame([(x,) for x in lines], "value string").select(records.decode("value").alias("fields"))
+        return scoring.record_vectors(records.visit_fields(df), contract)
+
+    out = read(
+        '{"visit_id":"v1","visit_month":0,"med":"On","a":"1.005","c":"2.5","d":"-7","x":"9"}',
+        '{"patient_id":"2","visit_month":"4","a":null,"b":"1e3","b":"5","c":"zz"}',
+    )
+    # looked up by the names of the record, not by a pass over the contract for each
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    rows = {r["visit_id"]: r["features"] for r in out.collect()}
+    assert np.allclose(rows["v1"].toArray(), [0, -1.0, 3.5, 2.5, 1, 0, 1.005, 0, 2.5, 2.5, -7])
+    assert np.allclose(rows["2_4"].toArray(), [4, 1000, 0, 1000, 0, 1, 0, 1000, 0, 0, 0])
+    assert read("{}").select("num_prot").first()[0] == 0
+    with pytest.raises(Exception, match="NULL value in a feature vector"):
+        read('{"visit_id":"v1","a":"1"}').select("features").collect()
