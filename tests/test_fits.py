@@ -163,3 +163,24 @@ def test_records_are_read_by_the_names_they_have(spark):
     assert read("{}").select("num_prot").first()[0] == 0
     with pytest.raises(Exception, match="NULL value in a feature vector"):
         read('{"visit_id":"v1","a":"1"}').select("features").collect()
+
+
+def test_zeros_are_not_ranked(spark, monkeypatch):
+    """Positions that are mostly zero get their bound without a rank for each row; the bins are those of all values."""
+    rng, n = np.random.default_rng(13), 4_000
+    x = np.zeros((n, 6))
+    x[:, 0] = rng.normal(size=n)
+    x[rng.uniform(size=n) < 0.02, 1] = 3.0
+    x[rng.uniform(size=n) < 0.02, 2] = -3.0
+    x[:, 3] = np.where(rng.uniform(size=n) < 0.5, rng.integers(-4, 9, n), 0)
+    x[rng.uniform(size=n) < 0.0625, 4] = 2.0
+    rows = [(i, i % 5, float(i % 2), Vectors.sparse(6, [(j, v) for j, v in enumerate(r) if v]) if i % 3 else Vectors.dense(r)) for i, r in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, ["id", "kfold", "label", "features"])
+    ranked, slicer = [], forests.VectorSlicer
+    monkeypatch.setattr(forests, "VectorSlicer", lambda **kw: ranked.extend(kw["indices"]) or slicer(**kw))
+    out = forests.binned(table.repartition(4), "id").join(table.select(F.xxhash64("id").alias("row"), "id"), "row").orderBy("id").toPandas()
+    assert set(ranked) == {0, 3, 4}
+    got = np.stack([np.frombuffer(b, np.uint8) for b in out.bins])
+    for i in range(6):
+        cuts = np.unique(np.quantile(x[:, i], np.arange(1, 16) / 16, method="inverted_cdf"))
+        assert np.array_equal(got[:, i], np.searchsorted(cuts, x[:, i], "left")), i
